@@ -8,12 +8,33 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"), digest_all=True).withColumnRenamed("full_hash", "text_sha256")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -26,7 +47,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op9_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_quality, op6_exact_dedup, op8_secrets, op9_sharding, op10_url_filter)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
