@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=(80, 100))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_quality, op5_top_k, op6_exact_dedup, op8_secrets, op9_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_byte_bpe, op4_quality, op5_top_k, op6_exact_dedup, op8_secrets, op9_sharding, op10_url_filter)}
 
 ORACLE_SQL = {
     "op5_top_k": """
