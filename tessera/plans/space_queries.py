@@ -167,7 +167,7 @@ def minimum_box(spark, sf):
 def jor_percussions(spark, sf):
     b = bodies(spark, sf).where("id <= 400")
     contacts = P.overlaps(bodies(spark, sf)).select(F.concat_ws("-", "id1", "id2").alias("contact_id"), "id1", "id2", F.col("overlap").alias("gap")).where("id1 <= 400 and id2 <= 400")
-    found, _ = solver.solve_normal(contacts, b, solver.Settings(most_iterations=40))
+    found, _ = solver.solve_normal(contacts, b, solver.Settings(most_iterations=10))
     return found
 
 
