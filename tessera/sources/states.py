@@ -48,11 +48,11 @@ def append(states: DataFrame, path: str, nq: int = 7, nu: int = 6) -> bool:
 
 # Our own exchange format, little-endian: header (magic, bodies, nq, nu), then per state t and per body id, q, u.
 MAGIC = b"TSST"
-_HEADER = struct.Struct("<4sQII")
+_HEADER = "<4sQII"
 
 
 def to_binary(states: list[tuple[float, list[tuple[int, list[float], list[float]]]]], nq: int = 7, nu: int = 6) -> bytes:
-    out = [_HEADER.pack(MAGIC, len(states[0][1]) if states else 0, nq, nu)]
+    out = [struct.pack(_HEADER, MAGIC, len(states[0][1]) if states else 0, nq, nu)]
     body = struct.Struct(f"<q{nq + nu}d")
     for t, bodies in states:
         out += [struct.pack("<d", t), *(body.pack(i, *q, *u) for i, q, u in bodies)]
@@ -69,10 +69,10 @@ def read_binary(spark: SparkSession, path: str, nq: int = 7, nu: int = 6) -> Dat
         for batch in batches:
             for file, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 view = memoryview(raw.as_buffer())
-                magic, bodies, q, u = _HEADER.unpack_from(view)
+                magic, bodies, q, u = struct.unpack_from(_HEADER, view)
                 if (magic, q, u) != (MAGIC, nq, nu):
                     raise ValueError(f"{file} has another layout")
-                at, number, size = _HEADER.size, 0, 8 + bodies * body.size
+                at, number, size = struct.calcsize(_HEADER), 0, 8 + bodies * body.size
                 while at + size <= len(view):
                     (t,) = struct.unpack_from("<d", view, at)
                     rows = [body.unpack_from(view, at + 8 + k * body.size) for k in range(bodies)]

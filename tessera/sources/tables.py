@@ -30,7 +30,8 @@ def performance_xml(texts: DataFrame, text_col: str = "xml") -> DataFrame:
     names = F.xpath(F.col(text_col), F.lit("//DataTable/Header/Column/text()"))
     name = lambda c: F.coalesce(F.nullif(F.regexp_extract(F.trim(c), NAME, 0), F.lit("")), F.raise_error(F.lit("a column has no name")))
     lines = F.filter(F.split(F.xpath_string(F.col(text_col), F.lit("//DataTable/Data")), r"\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
-    described = F.from_xml(F.concat(F.lit("<d>"), F.regexp_extract(F.col(text_col), r"(?s)<Description>(.*?)</Description>", 1), F.lit("</d>")), "map<string,string>")
+    inner = F.regexp_extract(F.col(text_col), r"(?s)<Description>(.*?)</Description>", 1)
+    described = F.from_xml(F.concat(F.lit("<d><all>"), inner, F.lit("</all></d>")), "all map<string,string>")["all"]
     return texts.select(
         described.alias("description"),
         F.transform(names, name).alias("names"),
