@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import ChunkEncoder, packed
 
 
 def byte_characters() -> str:
@@ -66,12 +66,12 @@ class Codec:
         self.chunks = ChunkEncoder(self._encode_many)
         self.decimal = list(map(str, range(len(pieces))))
 
-    def _encode_many(self, texts: list[str]) -> list[list[int]]:
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         split = [[p.encode().decode("latin-1").translate(self.to_characters) for p in self.pre_tokens(t)] for t in texts]
         # A pre-token that is a token itself is taken as it is.
         todo = [p for pre in split for p in pre if p not in self.whole]
         encoded = iter(self.model.encode(todo, num_threads=1) if todo else ())
-        return [[i for p in pre for i in ([self.whole[p]] if p in self.whole else next(encoded))] for pre in split]
+        return [packed([i for p in pre for i in ([self.whole[p]] if p in self.whole else next(encoded))]) for pre in split]
 
     def encode(self, text: str) -> list[int]:
         return self.chunks.encode(text).tolist()
@@ -92,11 +92,11 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
         codec = Codec(model.value, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
                 out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-                for text in part.column(1).to_pylist():
-                    ids = codec.encode(text or "")
+                for found in codec.chunks.encode_batch([text or "" for text in part.column(1).to_pylist()]):
+                    ids = found.tolist()
                     back = codec.decode(ids)
                     out["n_tokens"].append(len(ids))
                     out["ids_sha256"].append(sha(" ".join(map(codec.decimal.__getitem__, ids)).encode()))

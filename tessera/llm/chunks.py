@@ -7,55 +7,76 @@ other; few distinct chunks make up most of a corpus, and each is encoded once pe
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
 #: Bounds of the cache: chunks, and characters of a chunk.
-MOST_CHUNKS, MOST_CHARS = 600_000, 40
+MOST_CHUNKS, MOST_CHARS = 500_000, 40
+
+#: White space other than spaces and line feeds.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as 16-bit numbers."""
+    return array("H", ids).tobytes()
 
 
 class ChunkEncoder:
-    """Texts to ids by ``encode_many``, which takes strings and returns lists of ids below 65536."""
+    """Texts to ids by ``encode_many``, which takes strings and returns packed ids."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
         self.encode_many = encode_many
         self.cache: dict[str, bytes] = {}
 
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(ids, dtype=np.uint16).tobytes() for ids in self.encode_many(chunks)] if chunks else []
-
     def encode(self, text: str) -> np.ndarray:
-        first, *rest = text.split(" ")
-        found = list(map(self.cache.get, rest))
-        if None in found:
-            missing = {w for w, ids in zip(rest, found) if ids is None}
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in missing):
-                return self._by_merged_chunks(first, rest)
-            if len(self.cache) + len(missing) > MOST_CHUNKS:
-                self.cache.clear()
-                missing = set(rest)
-            new = dict(zip(missing, self._encoded([" " + w for w in missing])))
-            self.cache.update((w, ids) for w, ids in new.items() if len(w) <= MOST_CHARS)
-            get, cached = new.get, self.cache.get
-            found = [cached(w) or get(w) for w in rest]
-        if rest and (not first or first[-1].isspace()):  # the first cut is inside white space
-            return self._by_merged_chunks(first, rest)
-        return np.frombuffer(b"".join(self._encoded([first]) + found) if first else b"", dtype=np.uint16)
-
-    def _by_merged_chunks(self, first: str, rest: list[str]) -> np.ndarray:
-        """The same for texts with runs of white space: only cuts between other characters stay."""
-        chunks, open_chunk, clean = [], [first], bool(first) and not first[-1].isspace()
-        for w in rest:
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Words of all texts are looked up together, so that no loop over words runs in Python."""
+        chunks, ends, apart = [], [], []
+        for text in texts:
+            words = text.split(" ")
+            if "" in words or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+                chunks += self._merged(words)
+            else:
+                apart.append(len(chunks))
+                chunks += words
+            ends.append(len(chunks))
+        # A text's first word has no space before it; it is marked by one behind it, as no other chunk ends in a space.
+        for at in apart:
+            chunks[at] += " "
+        missing = set(chunks).difference(self.cache)
+        if len(self.cache) + len(missing) > MOST_CHUNKS:
+            self.cache.clear()
+            missing = set(chunks)
+        names = list(missing)
+        self.cache.update(zip(names, self.encode_many([_text(c) for c in names])))
+        ids = list(map(self.cache.__getitem__, chunks))
+        for c in names:
+            if len(c) > MOST_CHARS:
+                del self.cache[c]
+        return [np.frombuffer(b"".join(ids[low:high]), dtype=np.uint16) for low, high in zip([0, *ends], ends)]
+
+    @staticmethod
+    def _merged(words: list[str]) -> list[str]:
+        """Chunks of a text with runs of white space, cut between other characters only; all are marked as whole ones."""
+        chunks, part = [], [words[0]]
+        clean = bool(words[0]) and not words[0][-1].isspace()
+        for w in words[1:]:
             if clean and w and not w[0].isspace():
-                chunks.append("".join(open_chunk))
-                open_chunk = [" " + w]
+                chunks.append("".join(part) + " ")
+                part = [" " + w]
             else:
-                open_chunk.append(" " + w)
+                part.append(" " + w)
             clean = bool(w) and not w[-1].isspace()
-        chunks.append("".join(open_chunk))
-        distinct = [c for c in dict.fromkeys(chunks) if c and (c[0] != " " or c[1:] not in self.cache)]
-        new = dict(zip(distinct, self._encoded(distinct)))
-        if len(self.cache) + len(new) <= MOST_CHUNKS:
-            self.cache.update((c[1:], ids) for c, ids in new.items() if len(c) <= MOST_CHARS and c[0] == " " and c[1:] and not (c[1].isspace() or c[-1].isspace()))
-        return np.frombuffer(b"".join(new[c] if c in new else self.cache[c[1:]] for c in chunks if c), dtype=np.uint16)
+        chunks.append("".join(part) + " ")
+        return chunks
+
+
+def _text(chunk: str) -> str:
+    """What a chunk stands for: marked ones for all but the mark, others for themselves behind a space."""
+    return chunk[:-1] if chunk[-1:] == " " else " " + chunk

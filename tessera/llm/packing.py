@@ -1,6 +1,6 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index returns unused neighbours for a seed, which fill its window.
 
-1. Each text is read once and becomes token ids, written out compressed with a signature: the token of least random
+1. Each text is read once and becomes token ids, written out with a signature: the token of least random
    priority among its rarer tokens, which alike documents tend to share. Document frequencies of all tokens are counted
    over the whole corpus; there are as many as the vocabulary has tokens.
 2. Documents are dealt into ranges of (signature, id): even shares whatever the signatures, as ties are cut by id. A
@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .bpe import byte_characters
+from .chunks import ChunkEncoder, packed
 from .common import materialise
 
 #: Tokens of a window; the token that ends each document.
@@ -38,49 +39,73 @@ WINDOW, END = 2048, 1
 K1, B = 1.2, 0.75
 #: Tokens and documents of a shard, and tokens of a range.
 SHARD_TOKENS, SHARD_DOCS, RANGE_TOKENS = 400_000, 400, 4_000_000
+#: Pre-tokens that a worker keeps.
+MOST_PRE_TOKENS = 300_000
 
 
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """Encodes with a tokenizers file, many distinct chunks in one call: in the ids of " a b c" each chunk begins with a token that begins with a space, and no other token holds one."""
+def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
+    """Encodes with a tokenizers file whose pre-tokens ``pattern`` matches.
+
+    A chunk seen for the first time falls into pre-tokens, of which most are known from other chunks; new ones go to the
+    merges straight away, their bytes mapped to characters as the vocabulary has them. Chunks with an added token, or with
+    characters beyond the Latin blocks, on which two libraries might not agree, are encoded as they are.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    heads = np.zeros(tokenizer.get_vocab_size(), bool)
-    heads[[i for token, i in tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
-    plain = lambda c: c[0] == " " and len(c) > 1 and not any(map(str.isspace, c[1:]))
-
-    def encode_many(chunks: list[str]) -> list[list[int]]:
-        if len(chunks) > 1 and all(map(plain, chunks)):
-            ids = np.array(tokenizer.encode("".join(chunks), add_special_tokens=False).ids, np.uint16)
-            cuts = np.flatnonzero(heads[ids])
-            if len(cuts) == len(chunks):
-                return np.split(ids, cuts[1:])
-        return [tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+    direct = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    merges, characters = tokenizer.model.tokenize, dict(enumerate(byte_characters()))
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    pre_tokens, known = regex.compile(pattern).findall, {}
+
+    def of(pre_token: str) -> bytes:
+        found = known.get(pre_token)
+        if found is None:
+            found = known[pre_token] = packed([t.id for t in merges(pre_token.encode().decode("latin-1").translate(characters))])
+        return found
+
+    plain = not any(map(str.isalpha, added))  # then no added token hides in letters alone
+
+    def one(chunk: str) -> bytes:
+        word = chunk[1:]
+        if plain and chunk[:1] == " " and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return of(chunk)
+        if not chunk or max(chunk) >= "\u0250" or any(a in chunk for a in added):
+            return packed(direct(chunk))
+        if chunk[0] == " " and chunk[1:-1].isalpha() and chunk[-1] in ".,":
+            return of(chunk[:-1]) + of(chunk[-1])
+        return b"".join(map(of, pre_tokens(chunk)))
+
+    def encode_many(chunks: list[str]) -> list[bytes]:
+        if len(known) > MOST_PRE_TOKENS:
+            known.clear()
+        return list(map(one, chunks))
 
     return ChunkEncoder(encode_many)
 
 
-def token_table(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (compressed 16-bit numbers), n, signature; and per batch of the scan a row with its document frequencies."""
+def token_table(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, ids (16-bit numbers), n, signature; and per batch of the scan a row with its document frequencies."""
     priority = np.random.default_rng(11).permutation(1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(path)
+        encoder = chunk_encoder(path, pattern)
         frequency = np.zeros(1 << 16, np.int64)
         names = ["doc_id", "ids", "n", "signature", "terms", "counts"]
         list_type = pa.list_(pa.int64())
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
                 blobs, n, signatures = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = np.append(encoder.encode(text or ""), np.uint16(END))
+                for found in encoder.encode_batch([text or "" for text in part.column(1).to_pylist()]):
+                    ids = np.append(found, np.uint16(END))
                     present = np.unique(ids)
                     frequency[present] += 1
                     rare = present[present >= 1000]  # tokens come in order of their merges: early ones are everywhere
                     signatures.append(int(priority[rare].min()) if len(rare) else 0)
-                    blobs.append(zlib.compress(ids.tobytes(), 1)), n.append(len(ids))
+                    blobs.append(ids.tobytes()), n.append(len(ids))
                 empty = pa.array([None] * len(n), list_type)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), pa.array(n, pa.int64()), pa.array(signatures, pa.int32()), empty, empty], names)
         terms = np.flatnonzero(frequency)
@@ -202,10 +227,10 @@ class Packer:
         return []
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    tokens = token_table(docs, tokenizer_path, id_col, text_col)
+    tokens = token_table(docs, tokenizer_path, pattern, id_col, text_col)
     rows = tokens.where("n is not null").select("doc_id", "ids", "n", "signature")
     documents, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     counts = tokens.where("terms is not null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts"))
@@ -228,7 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(zlib.decompress(blob.as_py()), np.uint16)
+                ids = np.frombuffer(blob.as_py(), np.uint16)
                 pieces.append((0, doc_id, ids, 0))
                 size += len(ids)
                 if size >= SHARD_TOKENS or len(pieces) >= SHARD_DOCS:

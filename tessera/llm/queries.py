@@ -13,7 +13,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
