@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
+#: So few edges end in one task of bounded size (8 MB of edges, some 100 MB in work); rounds go on until they are that few.
+FEW_EDGES = 500_000
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least vertex of each vertex's component, by union and find."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    found = {x: top(x) for x in list(above)}
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["id", "parent"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of ``edges`` (a, b); component is the least id in it.
 
@@ -19,7 +43,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     turn = 0
-    while not edges.isEmpty():
+    while n := edges.count():
+        if n <= FEW_EDGES:
+            parents = materialise(edges.coalesce(1).mapInArrow(_finish, "id long, parent long"), "parents")
+            if labels is None:
+                return parents.select("id", F.col("parent").alias("component"))
+            labels = _moved(labels, parents)
+            break
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("p"), F.col(c).alias("id"))
         parents = materialise(
             both(edges).groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("id"), F.least(rank("a"), "near")["id"].alias("parent")),
@@ -31,13 +61,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             edges.join(as_a, "a").join(as_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
             "edges",
         )
-        if labels is None:
-            labels = parents.select("id", F.col("parent").alias("root"))
-        else:
-            moved = parents.select(F.col("id").alias("root"), "parent")
-            labels = materialise(labels.join(moved, "root", "left").select("id", F.coalesce("parent", "root").alias("root")), "labels")
+        labels = _moved(labels, parents)
         turn += 1
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     least = materialise(labels.groupBy("root").agg(F.min("id").alias("component")), "least")
     return labels.join(least, "root").select("id", "component")
+
+
+def _moved(labels: DataFrame | None, parents: DataFrame) -> DataFrame:
+    if labels is None:
+        return parents.select("id", F.col("parent").alias("root"))
+    moved = parents.select(F.col("id").alias("root"), "parent")
+    return materialise(labels.join(moved, "root", "left").select("id", F.coalesce("parent", "root").alias("root")), "labels")

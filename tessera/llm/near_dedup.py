@@ -6,8 +6,9 @@ A document is the set of its distinct word shingles; two are linked when their s
    one class, carried on by its least id.
 2. In each of several independent trees, a node branches its documents by the minwise tokens at chosen sketch positions
    (two a node, so that a pair survives a level with probability 1 - (1 - s)^2). Nodes of up to ``NODE`` documents are
-   compared exhaustively by their sketches; larger ones branch on. Nodes still large at the last level hold documents
-   that share all tokens of a path: their members go on together, without any pair being formed.
+   compared exhaustively by their sketches. In larger ones every document is compared with the node's first: what is
+   anything like it joins its cluster, what is very like it goes no further, the rest branches on. Nodes still large at
+   the last level hold documents that share all tokens of a path: their members go on together, without any pair.
 3. What was found alike so far only gathers documents into loose clusters, which may hold too much but hardly miss a
    pair. Full sets decide inside the clusters: every pair of a cluster is compared until all its members are joined.
    A cluster over ``CHUNK`` documents is dealt into chunks that share a few pivots; documents that don't end up in the
@@ -39,6 +40,9 @@ TREES, BRANCHES, POSITIONS, LEVELS = 6, 2, 64, 4
 NODE, CHUNK = 64, 512
 #: Positions of 64 that must agree: 5.4 standard deviations below the mean at similarity 0.8.
 AGREE = 34
+#: In a large node: positions in which a document must agree with the first to join its cluster, and to go no further.
+#: If x stops (similarity 0.72 to the first), a y linked with x has similarity 0.52 to the first or more, and joins.
+GATHER, STOP = 26, 46
 #: Pivots that all chunks of a large cluster share.
 PIVOTS = 4
 MOST_WORDS = 500_000
@@ -166,25 +170,27 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     spark, links = classes.sparkSession, None
     members = classes.select(F.explode("keys").alias("key"), "id", "sketch")
     small_nodes = []
+    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(POSITIONS)), lambda i: F.substring("sketch", i, F.lit(1)) == F.substring("first.sketch", i, F.lit(1))))
     for level in range(1, LEVELS + 1):
         # Written out, so that the join has an exchange on either side and a large node can be split.
-        nodes = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "nodes")
+        nodes = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "sketch")).alias("first")).where("size > 1"), "nodes")
         placed = materialise(members.join(nodes, "key"), "members")
         small_nodes.append(placed.where(F.col("size") <= NODE).select("key", "id", "sketch"))
-        large = placed.where(F.col("size") > NODE)
-        if level == LEVELS:
-            links = large.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        else:
+        large = placed.where((F.col("size") > NODE) & (F.col("id") != F.col("first.id"))).withColumn("same", same)
+        # At the last level all go on together.
+        gathered = large.where(F.col("same") >= (GATHER if level < LEVELS else 0)).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+        links = gathered if links is None else links.unionByName(gathered)
+        if level < LEVELS:
             if large.isEmpty():
                 break
             position = lambda b: F.pmod(F.xxhash64("key", F.lit(b)), F.lit(POSITIONS)).cast("int")
             child = lambda b: F.xxhash64("key", F.lit(b), position(b), F.substring("sketch", position(b) + 1, F.lit(1)))
-            members = large.select(F.explode(F.array(*(child(b) for b in range(BRANCHES)))).alias("key"), "id", "sketch")
+            members = large.where(F.col("same") < STOP).select(F.explode(F.array(*(child(b) for b in range(BRANCHES)))).alias("key"), "id", "sketch")
     compared = small_nodes[0]
     for more in small_nodes[1:]:
         compared = compared.unionByName(more)
-    found = compared.repartition(4 * partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_compare_nodes, "a long, b long")
-    return found if links is None else found.unionByName(links)
+    found = compared.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_compare_nodes, "a long, b long")
+    return found.unionByName(links)
 
 
 class Group:
@@ -292,7 +298,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[label[own]]), pa.array(ids[own])], ["a", "b"])
 
     def together(groups: DataFrame) -> DataFrame:
-        return groups.repartition(4 * partitions(spark), "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "id")
+        return groups.repartition(partitions(spark), "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "id")
 
     links = together(small.select("cluster", "chunk", "id", "shingles")).mapInArrow(join_groups, "a long, b long")
     if not large.isEmpty():
