@@ -197,3 +197,25 @@ def geometry_text(kind: Column, radius: Column, extent: Column) -> Column:
 
 def centimetres_to_points(cm: Column) -> Column:
     return cm / 2.54 * 72
+
+
+def enum_code(name: Column, names: list[str]) -> Column:
+    """Number of an enum's value, from 0; another name fails the job."""
+    found = F.array_position(F.array(*map(F.lit, names)), name) - 1
+    return F.when(found >= 0, found).otherwise(F.raise_error(F.concat(F.lit("no such value: "), name)))
+
+
+def task_text(name: Column, options: Column) -> Column:
+    """One line for a task and its options (a map), by option name."""
+    entries = F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(':"'), e["value"], F.lit('"')))
+    return F.concat(F.lit(" Postprocess: "), name, F.lit(" : "), F.array_join(entries, ", "))
+
+
+def uniform(low: float, high: float, seed: int) -> Column:
+    return F.rand(seed) * (high - low) + low
+
+
+def truncated_normal(mean: float, deviation: float, low: float, high: float, seed: int) -> Column:
+    """Normal values within bounds, by rejection: the first of 64 draws that fits, else a uniform one (below 1e-9 if the bounds hold a third of the mass)."""
+    draws = F.array(*(F.randn(seed + i) * deviation + mean for i in range(64)))
+    return F.coalesce(F.get(F.filter(draws, lambda x: (x >= low) & (x <= high)), F.lit(0)), uniform(low, high, seed))

@@ -121,3 +121,17 @@ def warm_start(contacts: DataFrame, previous: DataFrame) -> DataFrame:
     """Adds the percussion that the previous step left for the same contact, zeros where it had none."""
     zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     return contacts.join(previous.select("id1", "id2", "percussion"), ["id1", "id2"], "left").withColumn("percussion", F.coalesce("percussion", zero))
+
+
+def overlap_by_kind(kind_a: Column, kind_b: Column, of_spheres: Column, of_a_in_b: Column, of_b_in_a: Column) -> Column:
+    """Overlap by the kinds of two geometries: sphere with sphere, sphere with half-space either way round; others give null."""
+    return (
+        F.when((kind_a == "sphere") & (kind_b == "sphere"), of_spheres)
+        .when((kind_a == "sphere") & (kind_b == "halfspace"), of_a_in_b)
+        .when((kind_a == "halfspace") & (kind_b == "sphere"), of_b_in_a)
+    )
+
+
+def with_neighbours(rows: DataFrame, neighbours: DataFrame, rank: str = "rank") -> DataFrame:
+    """Adds a neighbour's data by rank, null where there is none, and whether it was found."""
+    return rows.join(neighbours.withColumn("found", F.lit(True)), rank, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -181,3 +181,19 @@ def energy_totals(spark, sf):
 @query(f"WITH {BODY} SELECT id, row_number() OVER (ORDER BY id) AS position FROM body")
 def insertion_order(spark, sf):
     return G.numbered(bodies(spark, sf).select("id"), ["id"]).select("id", F.col("position").cast("long").alias("position"))
+
+
+@query(
+    f"""WITH {BODY} SELECT id, round(CASE WHEN id % 3 = 0 THEN r + 1 - abs(x - 10) WHEN id % 3 = 1 THEN r - (x - 10) END, 6) AS overlap FROM body""", "ours"
+)
+def geometry_dispatch(spark, sf):
+    kind = F.when(F.col("id") % 3 == 0, "sphere").when(F.col("id") % 3 == 1, "halfspace").otherwise("mesh")
+    inside = F.col("r") - (F.col("x") - 10)
+    found = P.overlap_by_kind(F.lit("sphere"), kind, F.col("r") + 1 - F.abs(F.col("x") - 10), inside, inside)
+    return bodies(spark, sf).select("id", F.round(found, 6).alias("overlap"))
+
+
+@query("SELECT s_suppkey, n_name, n_name IS NOT NULL AS found FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")
+def neighbour_lookup(spark, sf):
+    nations = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("rank"), "n_name")
+    return P.with_neighbours(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("rank")), nations).select("s_suppkey", "n_name", "found")

@@ -304,3 +304,15 @@ def sphere_inertia(spark, sf):
 @query(f"WITH {BODY} SELECT id, round(CASE WHEN abs(x) > 20 THEN x / 2.54::DOUBLE * 72 ELSE 0 END, 6) AS points, greatest(0, least(20, x))::DOUBLE AS clamped FROM body")
 def unit_and_clamp(spark, sf):
     return bodies(spark, sf).select("id", F.round(F.when(F.abs("x") > 20, S.centimetres_to_points(F.col("x"))).otherwise(0.0), 6).alias("points"), V.clamp(F.col("x"), F.lit(0.0), F.lit(20.0)).alias("clamped"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END::BIGINT AS code, ' Postprocess: ' || o_orderkey || ' : a:\"' || o_orderstatus || '\", b:\"x\"' AS line FROM orders")
+def enum_and_task_text(spark, sf):
+    options = F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.col("o_orderstatus"))
+    return table(spark, sf, "orders").select("o_orderkey", S.enum_code(F.col("o_orderstatus"), ["F", "O", "P"]).alias("code"), S.task_text(F.col("o_orderkey").cast("string"), options).alias("line"))
+
+
+@query(None)
+def random_values(spark, sf):
+    n = table(spark, sf, "customer").select("c_custkey", S.uniform(-1.0, 1.0, 7).alias("u"), S.truncated_normal(0.0, 1.0, -0.5, 2.0, 11).alias("v"))
+    return n.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.abs("u") > 1) | (F.col("v") < -0.5) | (F.col("v") > 2.0)).alias("outside"))
