@@ -36,27 +36,43 @@ def component(v: Column, index) -> Column:
     return F.element_at(v, (index if isinstance(index, Column) else F.lit(index)) + 1)
 
 
+# Inside this module vectors are lists of scalar columns: indexing an array expression repeats all its parts.
+def _add(a: list, b: list) -> list:
+    return [x + y for x, y in zip(a, b)]
+
+
+def _scaled(v: list, s) -> list:
+    return [x * s for x in v]
+
+
+def _cross(a: list, b: list) -> list:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _rotate(q: list, v: list) -> list:
+    inner = _add(_cross(q, v), _scaled(v, q[3]))
+    return _add(v, _scaled(_cross(q, inner), 2.0))
+
+
 def add(a: Column, b: Column) -> Column:
-    return vec(*(x + y for x, y in zip(parts(a), parts(b))))
+    return vec(*_add(parts(a), parts(b)))
 
 
 def scaled(v: Column, s) -> Column:
-    return vec(*(x * s for x in parts(v)))
+    return vec(*_scaled(parts(v), s))
 
 
 def cross(a: Column, b: Column) -> Column:
-    (ax, ay, az), (bx, by, bz) = parts(a), parts(b)
-    return vec(ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx)
+    return vec(*_cross(parts(a), parts(b)))
 
 
 def rotate(q: Column, v: Column) -> Column:
     """``v`` turned by the unit quaternion ``q``: v + 2 u x (u x v + w v), u the vector part."""
-    inner = add(cross(q, v), scaled(v, q[3]))
-    return add(v, scaled(cross(q, inner), 2.0))
+    return vec(*_rotate(parts(q, 4), parts(v)))
 
 
 def transform(q: Column, t: Column, v: Column) -> Column:
-    return add(rotate(q, v), t)
+    return vec(*_add(_rotate(parts(q, 4), parts(v)), parts(t)))
 
 
 def quaternion(axis: Column, angle: Column) -> Column:
@@ -99,18 +115,20 @@ def symmetric(v: Column) -> Column:
 
 def homogeneous(q: Column, t: Column) -> Column:
     """4 x 4 matrix of a rotation and a translation."""
-    columns = [rotate(q, vec(*(1.0 if i == j else 0.0 for j in range(3)))) for i in range(3)]
+    unit = lambda i: [F.lit(1.0 if i == j else 0.0) for j in range(3)]
+    columns = [_rotate(parts(q, 4), unit(i)) for i in range(3)]
     return F.array(*(vec(columns[0][i], columns[1][i], columns[2][i], t[i]) for i in range(3)), vec(0, 0, 0, 1))
 
 
 def basis(v: Column) -> Column:
     """Three orthonormal vectors, the first along ``v``; the second is taken in the plane of its larger of x and z, and y."""
     length = F.sqrt(dot3(v, v))
-    e = vec(*(p / length for p in parts(v)))
-    x, y, z = parts(e)
+    e = [p / length for p in parts(v)]
+    x, y, z = e
     in_xy, in_yz = F.sqrt(x * x + y * y), F.sqrt(y * y + z * z)
-    second = F.when(F.abs(x) > F.abs(z), vec(-y / in_xy, x / in_xy, F.lit(0.0))).otherwise(vec(F.lit(0.0), -z / in_yz, y / in_yz))
-    return F.when(length > 0, F.array(e, second, cross(e, second)))
+    flat = F.abs(x) > F.abs(z)
+    second = [F.when(flat, a).otherwise(b) for a, b in ((-y / in_xy, F.lit(0.0)), (x / in_xy, -z / in_yz), (F.lit(0.0), y / in_yz))]
+    return F.when(length > 0, F.array(vec(*e), vec(*second), vec(*_cross(e, second))))
 
 
 def upright(columns: Column) -> Column:
