@@ -128,11 +128,9 @@ def x_rank(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.rank().over(w).alias("place"), F.ntile(4).over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("quarter"))
 
 
-@query("SELECT s_nationkey AS nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 0", "extension")
+@query("SELECT p_size AS v FROM part EXCEPT SELECT c_nationkey FROM customer", "extension")
 def x_except(spark, sf):
-    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nationkey")).exceptAll(table(spark, sf, "customer").where("c_custkey % 40 = 0").select("c_nationkey")).distinct().join(
-        table(spark, sf, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("nationkey")), "nationkey", "left_anti"
-    )
+    return table(spark, sf, "part").select(F.col("p_size").alias("v")).subtract(table(spark, sf, "customer").select("c_nationkey"))
 
 
 @query(
