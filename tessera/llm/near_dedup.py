@@ -4,18 +4,18 @@ A document is the set of its distinct word shingles; two are linked when their s
 
 1. Each text is read once and becomes a sketch of minwise tokens and a digest of its set. Documents with one set are
    one class, carried on by its least id.
-2. In each of several independent trees, a node branches its documents by the minwise tokens at chosen sketch positions
-   (two a node, so that a pair survives a level with probability 1 - (1 - s)^2). Nodes of up to ``NODE`` documents are
-   compared exhaustively by their sketches. In larger ones every document is compared with the node's first: what is
-   anything like it joins its cluster, what is very like it goes no further, the rest branches on. Nodes still large at
-   the last level hold documents that share all tokens of a path: their members go on together, without any pair.
+2. In each of several independent trees, a node branches its documents by the minwise tokens at chosen sketch positions:
+   two at the root, one in each node below, so that rows don't multiply. Nodes of up to ``NODE`` documents are compared
+   exhaustively by their sketches. In larger ones every document is compared with the node's first: what is anything
+   like it joins its cluster, what is very like it goes no further, the rest branches on. Nodes still large at the last
+   level hold documents that share all tokens of a path: their members go on together, without any pair.
 3. What was found alike so far only gathers documents into loose clusters, which may hold too much but hardly miss a
    pair. Full sets decide inside the clusters: every pair of a cluster is compared until all its members are joined.
    A cluster over ``CHUNK`` documents is dealt into chunks that share a few pivots; documents that don't end up in the
    cluster's main component are then compared with all its chunks. No pair of a cluster goes unexamined.
 
-A pair at similarity 0.8 shares no level-1 node with probability 0.2**12 (4e-9), and fails the sketch filter in a node
-with probability below 1e-6.
+A pair at similarity 0.8 shares no level-1 node with probability 0.2**12 (4e-9); where all its nodes are large, and split
+one level on, with 0.36**12 (5e-6). It fails the sketch filter in a node with probability below 1e-6.
 
 Defined cases: a null or empty text has an empty set, links with nothing and stays; a text with fewer words than a
 shingle has one shingle, all its words; rows without an id link with nothing and stay; repeated rows are one class; an
@@ -183,9 +183,9 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         if level < LEVELS:
             if large.isEmpty():
                 break
-            position = lambda b: F.pmod(F.xxhash64("key", F.lit(b)), F.lit(POSITIONS)).cast("int")
-            child = lambda b: F.xxhash64("key", F.lit(b), position(b), F.substring("sketch", position(b) + 1, F.lit(1)))
-            members = large.where(F.col("same") < STOP).select(F.explode(F.array(*(child(b) for b in range(BRANCHES)))).alias("key"), "id", "sketch")
+            position = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(POSITIONS)).cast("int")
+            child = F.xxhash64("key", F.lit(level), position, F.substring("sketch", position + 1, F.lit(1)))
+            members = large.where(F.col("same") < STOP).select(child.alias("key"), "id", "sketch")
     compared = small_nodes[0]
     for more in small_nodes[1:]:
         compared = compared.unionByName(more)
