@@ -47,6 +47,7 @@ class ChunkEncoder:
                 chunks += words
             ends.append(len(chunks))
         # A text's first word has no space before it; it is marked by one behind it, as no other chunk ends in a space.
+        # Marked chunks stand for all but the mark, others for themselves behind a space.
         for at in apart:
             chunks[at] += " "
         missing = set(chunks).difference(self.cache)
@@ -54,7 +55,7 @@ class ChunkEncoder:
             self.cache.clear()
             missing = set(chunks)
         names = list(missing)
-        self.cache.update(zip(names, self.encode_many([_text(c) for c in names])))
+        self.cache.update(zip(names, self.encode_many([c[:-1] if c[-1:] == " " else " " + c for c in names])))
         ids = list(map(self.cache.__getitem__, chunks))
         for c in names:
             if len(c) > MOST_CHARS:
@@ -75,8 +76,3 @@ class ChunkEncoder:
             clean = bool(w) and not w[-1].isspace()
         chunks.append("".join(part) + " ")
         return chunks
-
-
-def _text(chunk: str) -> str:
-    """What a chunk stands for: marked ones for all but the mark, others for themselves behind a space."""
-    return chunk[:-1] if chunk[-1:] == " " else " " + chunk

@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import os
@@ -60,6 +61,8 @@ def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     pre_tokens, known = regex.compile(pattern).findall, {}
 
+    space = characters[ord(" ")]
+
     def of(pre_token: str) -> bytes:
         found = known.get(pre_token)
         if found is None:
@@ -68,20 +71,24 @@ def chunk_encoder(path: str, pattern: str) -> ChunkEncoder:
 
     plain = not any(map(str.isalpha, added))  # then no added token hides in letters alone
 
-    def one(chunk: str) -> bytes:
-        word = chunk[1:]
-        if plain and chunk[:1] == " " and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-            return of(chunk)
-        if not chunk or max(chunk) >= "\u0250" or any(a in chunk for a in added):
-            return packed(direct(chunk))
-        if chunk[0] == " " and chunk[1:-1].isalpha() and chunk[-1] in ".,":
-            return of(chunk[:-1]) + of(chunk[-1])
-        return b"".join(map(of, pre_tokens(chunk)))
-
     def encode_many(chunks: list[str]) -> list[bytes]:
         if len(known) > MOST_PRE_TOKENS:
             known.clear()
-        return list(map(one, chunks))
+        out = []
+        for chunk in chunks:
+            word = chunk[1:]
+            if plain and chunk[:1] == " " and word.isalpha() and word.isascii():  # most; these characters are their own
+                found = known.get(chunk)
+                if found is None:
+                    found = known[chunk] = packed([t.id for t in merges(space + word)])
+            elif not chunk or max(chunk) >= "\u0250" or any(a in chunk for a in added):
+                found = packed(direct(chunk))
+            elif chunk[0] == " " and chunk[-1] in ".," and chunk[1:-1].isalpha():
+                found = of(chunk[:-1]) + of(chunk[-1])
+            else:
+                found = b"".join(map(of, pre_tokens(chunk)))
+            out.append(found)
+        return out
 
     return ChunkEncoder(encode_many)
 
@@ -91,6 +98,7 @@ def token_table(docs: DataFrame, path: str, pattern: str, id_col: str, text_col:
     priority = np.random.default_rng(11).permutation(1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and walking the caches takes time
         encoder = chunk_encoder(path, pattern)
         frequency = np.zeros(1 << 16, np.int64)
         names = ["doc_id", "ids", "n", "signature", "terms", "counts"]
