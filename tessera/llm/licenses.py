@@ -3,8 +3,8 @@
 Templates are cut into words; hashes of runs of ``RUN`` words are winnowed (Schleimer, Wilkerson and Aiken, 2003): of
 every ``SPAN`` runs in a row the least hash is a fingerprint. An inverted index leads from a fingerprint to templates
 and positions. A document's words that no template has break it into segments; the hashes of all runs of these segments
-are looked up, and hits on nearby diagonals of one template form a candidate, which is aligned with the template inside a
-band around those diagonals. Templates shorter than a winnowing window are fingerprinted by all their runs.
+are looked up; each hit that no match of its template covers yet is aligned with the template inside a band around its
+diagonal, between the matches already found. Templates shorter than a winnowing window are fingerprinted by all their runs.
 
 Defined cases: a null or empty text has no match; repeated rows are scanned alike; an empty table gives an empty
 result; a text that holds a template several times has a match for each; further columns are ignored. Spans are in code
@@ -14,7 +14,7 @@ points, end exclusive.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,24 +73,31 @@ def fingerprints(words: list[str]) -> list[tuple[int, int]]:
     return [(hashes[i], i) for i in sorted(chosen)]
 
 
-def align(doc: list[str], template: list[str], shift: int) -> list[tuple[int, int]]:
-    """Longest common subsequence of words as (document, template) positions, within ``BAND`` of the diagonal document - template = shift."""
-    n, width = len(template), 2 * BAND + 1
-    best = np.zeros((n + 1, width + 1), np.int32)
+def align(doc: list[str], template: list[str], shift: int, low: int = 0, high: int | None = None) -> list[tuple[int, int]]:
+    """Longest common subsequence of words as (document, template) positions, within ``BAND`` of the diagonal document - template = shift.
+
+    Only the document's words from ``low`` to before ``high`` take part. Of equally long ones it is one that starts last, so
+    that a match doesn't reach back into what stands before a whole notice.
+    """
+    n, width, high = len(template), 2 * BAND + 1, len(doc) if high is None else high
+    best = [[0] * (width + 1) for _ in range(n + 1)]
     for t in range(n - 1, -1, -1):
+        row, after = best[t], best[t + 1]
         for o in range(width - 1, -1, -1):
             d = t + shift + o - BAND
             # The band moves with the template: the same offset one word on is the diagonal, offset - 1 skips a template word.
-            skip = max(best[t, o + 1], best[t + 1, o - 1] if o else 0)
-            same = 0 <= d < len(doc) and doc[d] == template[t]
-            best[t, o] = max(skip, best[t + 1, o] + 1) if same else skip
+            skip = max(row[o + 1], after[o - 1] if o else 0)
+            same = low <= d < high and doc[d] == template[t]
+            row[o] = max(skip, after[o] + 1) if same else skip
     found, t, o = [], 0, 0
+    while o + 1 < width and best[0][o + 1] == best[0][0]:
+        o += 1
     while t < n and o < width:
         d = t + shift + o - BAND
-        if 0 <= d < len(doc) and doc[d] == template[t] and best[t, o] == best[t + 1, o] + 1:
+        if low <= d < high and doc[d] == template[t] and best[t][o] == best[t + 1][o] + 1:
             found.append((d, t))
             t += 1
-        elif best[t, o] == best[t, o + 1]:
+        elif best[t][o] == best[t][o + 1]:
             o += 1
         else:
             t, o = t + 1, o - 1
@@ -129,22 +136,33 @@ class Scanner:
         words = [text[s:e].lower() for s, e in where]
         known = np.array([w in self.vocabulary for w in words], bool)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], known, [0]])))
-        hits: dict[int, set[int]] = defaultdict(set)
+        hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for low, high in zip(edges[::2].tolist(), edges[1::2].tolist()):
             segment = words[low:high]
             marks = [(xxhash.xxh3_64_intdigest("\x00".join(segment[i : i + RUN])), i) for i in range(len(segment) - RUN + 1)]
             for h, at in marks:
                 for k, position in self.index.get(h, ()):
-                    hits[k].add(low + at - position)
+                    hits[k].add((low + at - position, low + at))
         found = []
-        for k, shifts in hits.items():
-            template, taken = self.words[k], None
-            for shift in sorted(shifts):
-                if taken is not None and shift - taken <= BAND:
-                    continue  # the band around an earlier diagonal holds this one
-                taken = shift + BAND // 2
-                pairs = align(words, template, taken)
-                if pairs and len(pairs) >= self.coverage * len(template):
+        for k, places in hits.items():
+            template, spans, tried = self.words[k], [], set()
+            of_template = Counter(template)
+            for shift, at in sorted(places):
+                # Until no match covers this hit: other notices in the band may be found first. A match never crosses another.
+                while not any(s <= at < e for s, e in spans):
+                    low = max((e for _, e in spans if e <= at), default=0)
+                    high = min((s for s, _ in spans if s > at), default=len(words))
+                    if (shift, low, high) in tried:
+                        break
+                    tried.add((shift, low, high))
+                    centre = shift + BAND // 2
+                    inside = Counter(words[max(low, centre - BAND) : max(0, min(high, centre + BAND + len(template)))])
+                    if (of_template & inside).total() < self.coverage * len(template):
+                        break  # too few words of the template for any alignment
+                    pairs = align(words, template, centre, low, high)
+                    if len(pairs) < self.coverage * len(template):
+                        break
+                    spans.append((pairs[0][0], pairs[-1][0] + 1))
                     found.append((self.names[k], len(pairs) / len(template), len(pairs), where[pairs[0][0]][0], where[pairs[-1][0]][1]))
         found.sort(key=lambda m: (-m[2], m[3], m[0]))
         kept: list[tuple] = []

@@ -201,6 +201,25 @@ def test_licenses(spark):
     assert by[1].coverage == 1.0 and 0.85 < by[2].coverage < 1 and f"intro {mit} outro"[by[1].start : by[1].end] == mit.rstrip(".")
 
 
+@pytest.mark.parametrize("name", ["CC-BY-NC-4.0-line", "MIT-line", "ISC"])
+def test_licenses_reports_each_of_adjoining_notices(name):
+    line = licenses.TEMPLATES[name]
+    for between in (" ", " y ", " y z ", " a b c d e f g "):
+        for n in (2, 3, 7):
+            text = "x " + between.join([line] * n) + " z"
+            found = licenses.Scanner(licenses.TEMPLATES).matches(text)
+            assert [m[0] for m in found] == [name] * n
+            assert [(m[3], m[4]) for m in found] == [(m.start(), m.end()) for m in re.finditer(re.escape(line.rstrip(".")), text)]
+
+
+def test_licenses_keeps_a_changed_notice_beside_a_whole_one():
+    whole = "Licensed under CC BY-NC 4.0."
+    for part in ("Licensed under CC BY-NC X.", "Offered under CC BY-NC 4.0."):
+        for texts in ((part, whole), (whole, part), (part, whole, part)):
+            found = licenses.Scanner(licenses.TEMPLATES).matches(" ".join(texts))
+            assert [m[1] for m in found] == [1.0 if t is whole else 0.8 for t in texts]
+
+
 BASE = [
     (re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12, "assign"),
     (re.compile(r"AKIA[A-Z0-9]+"), 0, 18, "access"),
