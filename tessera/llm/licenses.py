@@ -13,6 +13,7 @@ points, end exclusive.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -108,8 +109,9 @@ class Scanner:
     """Templates, their vocabulary and the inverted index of their fingerprints."""
 
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
-        self.names, self.coverage = list(templates), coverage
+        self.names = list(templates)
         self.words = [words_of(t) for t in templates.values()]
+        self.needed = [max(1, math.ceil(coverage * len(words) - 1e-9)) for words in self.words]
         self.vocabulary = {w for words in self.words for w in words}
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
@@ -117,21 +119,9 @@ class Scanner:
             marks = fingerprints(words) if len(words) >= 2 * (RUN + SPAN) else [(xxhash.xxh3_64_intdigest("\x00".join(words[i : i + RUN])), i) for i in range(len(words) - RUN + 1)]
             for h, at in marks:
                 self.index[h].append((k, at))
-        # A match has at least ``coverage`` of a template's words, so at least one of those that make up more than the rest.
-        cues = set()
-        for words in self.words:
-            missing, chosen = (1 - coverage) * len(words), 0
-            for w in sorted(set(words), key=lambda w: (-len(w), w)):
-                if chosen > missing:
-                    break
-                cues.add(w)
-                chosen += words.count(w)
-        self.cues = re.compile("|".join(map(re.escape, sorted(cues))), re.IGNORECASE)
 
     def matches(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, start, end), by start, then template; of overlapping ones the longest match stays."""
-        if not self.cues.search(text):
-            return []
         where = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         words = [text[s:e].lower() for s, e in where]
         known = np.array([w in self.vocabulary for w in words], bool)
@@ -157,10 +147,10 @@ class Scanner:
                     tried.add((shift, low, high))
                     centre = shift + BAND // 2
                     inside = Counter(words[max(low, centre - BAND) : max(0, min(high, centre + BAND + len(template)))])
-                    if (of_template & inside).total() < self.coverage * len(template):
+                    if (of_template & inside).total() < self.needed[k]:
                         break  # too few words of the template for any alignment
                     pairs = align(words, template, centre, low, high)
-                    if len(pairs) < self.coverage * len(template):
+                    if len(pairs) < self.needed[k]:
                         break
                     spans.append((pairs[0][0], pairs[-1][0] + 1))
                     found.append((self.names[k], len(pairs) / len(template), len(pairs), where[pairs[0][0]][0], where[pairs[-1][0]][1]))

@@ -220,6 +220,20 @@ def test_licenses_keeps_a_changed_notice_beside_a_whole_one():
             assert [m[1] for m in found] == [1.0 if t is whole else 0.8 for t in texts]
 
 
+@pytest.mark.parametrize("name", [k for k, t in licenses.TEMPLATES.items() if len(licenses.words_of(t)) <= 12])
+def test_licenses_finds_notices_that_lack_any_one_word(name):
+    line = licenses.TEMPLATES[name].rstrip(".").split(" ")
+    scanner, runs = licenses.Scanner(licenses.TEMPLATES), 0
+    for i in range(len(line)):
+        text = " ".join([*line[:i], "qqq", *line[i + 1 :]])
+        alone, beside = scanner.matches(text), scanner.matches(text + " qqq" * 40 + " license licensed released")
+        assert [m[:3] for m in alone] == [m[:3] for m in beside]  # other words of a text don't matter
+        if i in (0, len(line) - 1):  # so that runs of three words are left
+            runs += 1
+            assert [m[2] for m in alone if m[0] == name] == [len(line) - 1]
+    assert runs == 2
+
+
 BASE = [
     (re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12, "assign"),
     (re.compile(r"AKIA[A-Z0-9]+"), 0, 18, "access"),
