@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality classifier, exact dedup, near dedup, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
-next stage's ``docs``. All but the last keep the columns of ``documents``.
+next stage's ``docs``. All but the last keep the columns of ``documents``. Decisions are made and applied by row, so that
+null and repeated ids are documents like any other.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from tessera.llm import common, exact_dedup, near_dedup, packing, quality, secre
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects, learnt from the labels of this corpus."""
     common.release(spark)  # what earlier runs wrote has been used
-    rejected = quality.score_documents(docs, common.table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rows = common.keyed(docs)
+    rejected = quality.score_documents(rows, common.table(spark, sf_dir, "labels"), row_col=common.ROW).where("predicted = 0")
+    return rows.join(rejected.select(F.col("row").alias(common.ROW)), common.ROW, "left_anti").select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +30,13 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five words, similarity 0.8."""
+    """Keeps one document of each group of near duplicates, the one of least id: five words, similarity 0.8."""
     common.release(spark)
-    dropped = near_dedup.near_duplicates(docs, words=5, threshold=(80, 100)).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = common.keyed(docs)
+    found = near_dedup.near_duplicates(rows, words=5, threshold=(80, 100), id_col=common.ROW).select(F.col("doc_id").alias(common.ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(common.ROW).alias("row")))
+    stays = rows.select("doc_id", common.ROW).join(found, common.ROW).groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(common.ROW))
+    return rows.join(stays, common.ROW, "left_semi").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder (local runs and tests).
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
+#: A key of every row, as ids may be null or repeat.
+ROW = "_tessera_row"
+
 _written: list[str] = []
 
 
@@ -34,6 +37,11 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own in each row, ``ROW``: written, so that all later reads see the same numbers."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def release(spark: SparkSession) -> int:
     """Delete the scratch tables written so far. Call it only when results that came from them have been written."""
     n = 0

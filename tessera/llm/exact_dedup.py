@@ -6,8 +6,9 @@ second pass hashes the full content of surviving rows alone, without moving any
 one more hash and nothing else. Full hashes then decide.
 
 Defined cases: a null text is empty, and empty texts equal each other; of equal texts the one with the most code points
-stays, then the smallest id (null ids come last); rows that repeat an id and its text are flagged alike; an empty table
-gives an empty result; further columns are ignored.
+stays, then the smallest id (null ids come last); rows that repeat an id and its text are flagged alike where no row key
+is given, while ``dedup`` keeps exactly one row of each group; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import ROW, keyed, materialise, text_or_empty
 
 #: White space that does not count.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -41,14 +42,18 @@ def _bitmap(groups: DataFrame) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, row_col: str | None = None) -> DataFrame:
     """Per row: doc_id, keep_id (the row of its group that stays), group_size, kept, and full_hash.
 
+    With ``row_col``, a column that tells all rows apart, ``row`` comes too and ``kept`` holds for one row of each group:
+    of rows with one id and equally long texts the least ``row``.
+
     ``full_hash`` is the SHA-256 of the normalised text for rows that reached the last refinement, else null;
     ``digest_all`` asks for it on every row, for callers that return it.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("points"), normalised(text).alias("norm"))
+    row = [] if row_col is None else ["row"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(F.col(row_col).alias(r) for r in row), F.length(text).alias("points"), normalised(text).alias("norm"))
     rows = rows.withColumns({"length": F.length("norm"), "prefix_hash": F.xxhash64(F.substring("norm", 1, PREFIX))})
     surviving = rows.groupBy("length", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = (
@@ -58,24 +63,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     hashed = F.col("candidate") if not digest_all else F.lit(True)
     keys = materialise(
-        marked.select("doc_id", "points", "length", "prefix_hash", "candidate", F.when(hashed, F.sha2("norm", 256)).alias("full_hash")),
+        marked.select("doc_id", *row, "points", "length", "prefix_hash", "candidate", F.when(hashed, F.sha2("norm", 256)).alias("full_hash")),
         "digests",
     )
     group = ["length", "prefix_hash", "full_hash"]
-    stays = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low")))
+    stays = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"), *((-F.col(r)).alias(r) for r in row)))
     # Written out, so that the join below has an exchange on either side and a hot group's partition can be split.
     groups = materialise(
         keys.where("candidate").groupBy(*group).agg(F.count(F.lit(1)).alias("group_size"), stays.alias("stays")).where("group_size > 1"),
         "groups",
     )
+    kept = F.col("group_size").isNull() | (F.col("row") == -F.col("stays.row")) if row else F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return (
         keys.join(groups, group, "left")
         .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(-F.col("stays.low")))
-        .select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "full_hash")
+        .select("doc_id", *row, "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "full_hash")
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti")
+    rows = keyed(docs)
+    dropped = exact_groups(rows, id_col, text_col, row_col=ROW).where("not kept").select(F.col("row").alias(ROW))
+    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)

@@ -73,17 +73,18 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and features of every row, written to the shared folder: the texts are read once."""
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row (where ``row_col`` names a key of the rows) and features of every row, written to the shared folder: the texts are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
                 features = [statistics(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(features, pa.list_(pa.float64()))], ["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(features, pa.list_(pa.float64()))], ["doc_id", "row", "features"])
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, features array<double>")
+    row = F.lit(None).cast("long") if row_col is None else F.col(row_col).cast("long")
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), row.alias("row")).mapInArrow(run, "doc_id long, row long, features array<double>")
     return materialise(rows, "features")
 
 
@@ -195,15 +196,15 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted."""
-    features = feature_table(docs)
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, row (only with ``row_col``, a key of the rows), held_out, score, predicted."""
+    features = feature_table(docs, row_col=row_col)
     model = fit(features.where(~held_out()), labels.where(~held_out()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
+            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(x))], ["doc_id", "row", "score"])
 
-    scored = features.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = features.mapInArrow(run, "doc_id long, row long, score double")
+    return scored.select("doc_id", *([] if row_col is None else ["row"]), held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

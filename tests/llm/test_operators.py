@@ -191,6 +191,12 @@ def test_exact_dedup(spark, odd_docs):
                 assert r.full_hash == hashlib.sha256(texts.pop().encode()).hexdigest()
 
 
+def test_exact_dedup_keeps_one_row_of_each_group(spark):
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (1, "other", "s"), (2, "a b", "s"), (None, "ab", "s"), (None, "n", "s"), (None, "n", "t"), (None, "m", "s"), (3, "m", "s"), (4, None, "s"), (4, None, "s")]
+    docs = make(spark, rows).repartition(3)
+    assert sorted(exact_dedup.dedup(docs).select("doc_id", "text").collect(), key=str) == sorted([(1, "a b"), (1, "other"), (3, "m"), (4, None), (None, "n")], key=str)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     changed = " ".join("thing" if i % 12 == 5 else w for i, w in enumerate(mit.split()))

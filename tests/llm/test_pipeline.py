@@ -35,3 +35,27 @@ def test_stages(spark, tmp_path):
     assert set(kept[3]) == set(kept[2]) and "[SECRET]" in kept[3][403] and all(kept[3][i] == t for i, t in kept[2].items() if i != 403)
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == set(kept[3])
     assert common.release(spark) > 0
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    good = [(i, words(i, 60 + i), "src1") for i in range(120)]
+    bad = [(200 + i, " ".join(w.upper() + "!!" for w in words(i + 300, 60 + i).split(" ")), "src1") for i in range(40)]
+    labels = [(i, 1, 0) for i, *_ in good] + [(i, 0, 0) for i, *_ in bad]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    near = words(9, 200).split(" ")
+    copy = " ".join(near[:195] + ["y"] * 5)
+    # An id with a clean and a rejected text, a rejected text without an id, repeated rows, and copies without an id.
+    odd = [(5, bad[3][1], "src1"), (None, bad[4][1], "src1"), good[7], (None, good[8][1], "src1"), (401, " ".join(near), "src1"), (402, copy, "src1"), (402, words(901, 90), "src1"), (None, copy + " z", "src1"), (None, words(902, 90), "src1")]
+    now = make(spark, [*good, *bad, *odd]).select(COLUMNS).repartition(3)
+    want = [r[:2] for r in [*good, *odd[4:5], *odd[6:7], *odd[8:]]]
+    outs = []
+    for k, stage in enumerate([corpus_pipeline.quality_stage, corpus_pipeline.exact_dedup_stage, corpus_pipeline.near_dedup_stage]):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        now = spark.read.parquet(str(tmp_path / f"out{k}"))
+        outs.append(sorted(((r.doc_id, r.text) for r in now.collect()), key=str))
+    order = lambda rows: sorted((tuple(r[:2]) for r in rows), key=str)
+    assert outs[0] == order([*good, *odd[2:]])
+    assert outs[1] == order([*good, *odd[4:]])
+    assert outs[2] == order(want)
+    again = corpus_pipeline.near_dedup_stage(spark, make(spark, [good[0]] * 3).select(COLUMNS), str(tmp_path))
+    assert again.count() == 1
