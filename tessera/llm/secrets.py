@@ -6,7 +6,8 @@ Spans of the fixed patterns are always reported; free-standing random-looking st
 value is owner-specific.
 
 Defined cases: a null text is empty; a null repository counts as one repository of its own; repeated rows are separate
-owners; an empty table gives an empty result; further columns are ignored. Spans are in code points, end exclusive.
+owners; ``redact`` replaces each row's own spans, whether its id is null or repeated; an empty table gives an empty
+result; further columns are ignored. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import ROW, keyed, materialise, text_or_empty
 
 # Kinds in report order, their patterns, the group that holds the value, and its least length.
 KINDS = [
@@ -114,14 +115,9 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
     """All rows, in which live-looking secrets are replaced; only rows with candidates take part in a join."""
-    live = (
-        scan(docs, id_col, text_col, repo_col)
-        .select(F.col("doc_id").alias("_id"), F.filter("spans", lambda s: ~s["copied"]).alias("_live"))
-        .where(F.size("_live") > 0)
-        .dropDuplicates(["_id", "_live"])
-        .groupBy("_id").agg(F.array_sort(F.flatten(F.collect_set("_live"))).alias("_live"))
-    )
     maybe = text_or_empty(text_col).rlike(ANY)
+    rows = keyed(docs.where(maybe))
+    live = scan(rows, ROW, text_col, repo_col).select(F.col("doc_id").alias(ROW), F.filter("spans", lambda s: ~s["copied"]).alias("_live")).where(F.size("_live") > 0)
 
     def step(state: Column, s: Column) -> Column:
         before = F.substring(F.col(text_col), state["at"] + 1, s["start"] - state["at"])
@@ -131,6 +127,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     rest = lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(F.col(text_col))))
-    changed = docs.where(maybe).join(live, F.col(id_col) == F.col("_id"), "left")
+    changed = rows.join(live, ROW, "left")
     changed = changed.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(F.aggregate("_live", start, step, rest)))
     return changed.select(*docs.columns).unionByName(docs.where(~maybe))

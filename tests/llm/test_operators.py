@@ -269,6 +269,14 @@ def test_copied_secrets_stay_and_live_ones_go(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_redact_goes_by_row(spark):
+    one, two = 'a token = "q8Zx81Lk20Vb77Yt55Nw" end', 'longer clean text before token = "w1Rt92Pk30Mb88Zt66Qx" end'
+    rows = [(None, one, "r"), (None, "clean text without an id, none at all", "r"), (7, one, "r"), (7, two, "r"), (7, "clean text with a token = short and more of it", "r"), (8, two, "r"), (8, two, "r")]
+    found = secrets.redact(make(spark, rows).repartition(3)).select("doc_id", "text").collect()
+    cut = lambda t: re.sub('token = "[A-Za-z0-9]+', "[SECRET]", t)
+    assert sorted(map(tuple, found), key=str) == sorted(((i, cut(t)) for i, t, _ in rows), key=str)
+
+
 def jump(key, n):
     b, j = -1, 0
     while j < n:
