@@ -167,7 +167,10 @@ def minimum_box(spark, sf):
 def jor_percussions(spark, sf):
     b = bodies(spark, sf)
     contacts = P.overlaps(b).select(F.concat_ws("-", "id1", "id2").alias("contact_id"), "id1", "id2", F.col("overlap").alias("gap"))
-    found, _ = solver.solve_normal(contacts, b, solver.Settings(most_iterations=10))
+    settings = solver.Settings()
+    found, rounds = solver.solve_normal(contacts, b, settings)
+    if rounds == settings.most_iterations:
+        raise RuntimeError(f"percussions have not settled after {rounds} rounds")
     return found
 
 

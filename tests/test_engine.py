@@ -1,11 +1,13 @@
 """Graphs, pairs, cells, series, sources, sinks, the solver and streams."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import grid, pairs, series, solver
+from tessera.plans import space_queries
 from tessera.plans.graph import Graph, GraphError, parse
 from tessera.sources import sinks, states, tables
 from tessera.streaming import live
@@ -131,6 +133,21 @@ def test_solver(spark):
     assert all(colours[a] != colours[b] for a, b in ((1, 2), (2, 3), (1, 3), (3, 4)))
 
 
+def test_jor_percussions_reach_the_fixed_point(spark, tmp_path):
+    sizes = {100 + 47730 * i: s for i, s in enumerate((20, 35, 15, 30))}  # a row of bodies, 1 apart in y
+    spark.createDataFrame([(k, s, "m") for k, s in sizes.items()], "p_partkey long, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    found = {r.contact_id: r.percussion for r in space_queries.jor_percussions(spark, str(tmp_path)).collect()}
+    ids = sorted(sizes)
+    place = {k: (k % 37, k * 7 % 41, k * 13 % 43) for k in ids}
+    gaps = {(a, b): 0.4 + (sizes[a] + sizes[b]) / 50 - math.dist(place[a], place[b]) for a in ids for b in ids if a < b}
+    p = {c: 0.0 for c, gap in gaps.items() if gap > 0}
+    for _ in range(5000):  # one contact after the other
+        for c in p:
+            push = sum(q * sum(1 / sizes[i] for i in set(c) & set(o)) for o, q in p.items() if o != c)
+            p[c] = max(0.0, (gaps[c] - push) / (1 / sizes[c[0]] + 1 / sizes[c[1]]))
+    assert len(p) >= 3 and found == pytest.approx({f"{a}-{b}": q for (a, b), q in p.items()}, abs=1e-5)
+
+
 def test_streams(spark, tmp_path):
     path = str(tmp_path / "s")
     frames = spark.createDataFrame([(1, float(t)) for t in (0, 3, 4, 9, 10, 14, 20)], "k long, t double")
