@@ -4,18 +4,22 @@ A document is the set of its distinct word shingles; two are linked when their s
 
 1. Each text is read once and becomes a sketch of minwise tokens and a digest of its set. Documents with one set are
    one class, carried on by its least id.
-2. In each of several independent trees, a node branches its documents by the minwise tokens at chosen sketch positions:
-   two at the root, one in each node below, so that rows don't multiply. Nodes of up to ``NODE`` documents are compared
-   exhaustively by their sketches. In larger ones every document is compared with the node's first: what is anything
-   like it joins its cluster, what is very like it goes no further, the rest branches on. Nodes still large at the last
-   level hold documents that share all tokens of a path: their members go on together, without any pair.
+2. Each of ``TREES`` independent trees has minwise functions of its own. A root node holds the documents that share the
+   tree's first token. Nodes of up to ``NODE`` documents are compared exhaustively by their sketches. In larger ones
+   every document is compared with the node's first: what is anything like it joins its cluster, what is very like it
+   goes no further, the rest branches on by the tokens at chosen positions: two on the second level, one each on the
+   third. Nodes still large there hold documents that share all tokens of a path: they go on together, without any pair.
 3. What was found alike so far only gathers documents into loose clusters, which may hold too much but hardly miss a
-   pair. Full sets decide inside the clusters: every pair of a cluster is compared until all its members are joined.
-   A cluster over ``CHUNK`` documents is dealt into chunks that share a few pivots; documents that don't end up in the
-   cluster's main component are then compared with all its chunks. No pair of a cluster goes unexamined.
+   pair. Full sets decide inside the clusters. Those of up to ``CHUNK`` documents are compared in one task, until all
+   members are joined. Larger ones are dealt into chunks that share a few pivots, which joins most near copies; what is
+   left outside a cluster's main component then meets the rest of the cluster through an exact prefix filter: tokens in
+   one order, those that are frequent in the cluster last, with length and position bounds. Documents that merely share
+   a passage so become no pairs. No pair of a cluster that reaches the threshold goes unexamined.
 
-A pair at similarity 0.8 shares no level-1 node with probability 0.2**12 (4e-9); where all its nodes are large, and split
-one level on, with 0.36**12 (5e-6). It fails the sketch filter in a node with probability below 1e-6.
+What is missed: a pair at similarity 0.8 shares no root node with probability 0.2**12 (4e-9). Where all its nodes are
+large, it can be missed only if every tree parts it: (1 - 0.8 * 0.96 * 0.8)**12, 1.1e-5. It fails the sketch filter in a
+node with probability below 1e-6. A document that stops in a large node loses nothing: whatever agrees with it in
+``AGREE`` positions agrees with the node's first in ``GATHER`` and joins the same cluster.
 
 Defined cases: a null or empty text has an empty set, links with nothing and stays; a text with fewer words than a
 shingle has one shingle, all its words; rows without an id link with nothing and stay; repeated rows are one class; an
@@ -32,19 +36,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise
 from .components import connected_components
 
-TREES, BRANCHES, POSITIONS, LEVELS = 6, 2, 64, 4
+TREES, POSITIONS, LEVELS = 12, 64, 3
 #: Largest node that is compared exhaustively, and largest group whose full sets meet in one task.
-NODE, CHUNK = 64, 512
+NODE, CHUNK = 256, 128
 #: Positions of 64 that must agree: 5.4 standard deviations below the mean at similarity 0.8.
 AGREE = 34
-#: In a large node: positions in which a document must agree with the first to join its cluster, and to go no further.
-#: If x stops (similarity 0.72 to the first), a y linked with x has similarity 0.52 to the first or more, and joins.
-GATHER, STOP = 26, 46
-#: Pivots that all chunks of a large cluster share.
-PIVOTS = 4
+#: In a large node: positions in which a document must agree with the first to go no further, and to join its cluster.
+STOP = 56
+GATHER = STOP + AGREE - POSITIONS
+#: Pivots that all chunks of a large cluster share; members whose tokens are counted to put them in order (any order gives
+#: the same links), and tokens that are told apart as frequent.
+PIVOTS, COUNTED, FREQUENT = 8, 128, 8192
 MOST_WORDS = 500_000
 
 _RNG = np.random.default_rng(20260101)
@@ -91,8 +96,8 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), set_key, keys (of the level-1 nodes) and sketch (a byte of each minwise token)."""
-    salt = np.arange(TREES * BRANCHES, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+    """doc_id, n (set size), set_key, keys (of the root nodes, one a tree) and sketch (a byte of each minwise token)."""
+    salt = np.arange(TREES, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -167,8 +172,8 @@ def _compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) that gather the ids of ``classes`` (id, keys, sketch) into loose clusters."""
-    spark, links = classes.sparkSession, None
-    members = classes.select(F.explode("keys").alias("key"), "id", "sketch")
+    links = None
+    members = classes.select(F.posexplode("keys").alias("tree", "key"), "id", "sketch")
     small_nodes = []
     same = F.size(F.filter(F.sequence(F.lit(1), F.lit(POSITIONS)), lambda i: F.substring("sketch", i, F.lit(1)) == F.substring("first.sketch", i, F.lit(1))))
     for level in range(1, LEVELS + 1):
@@ -183,13 +188,19 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         if level < LEVELS:
             if large.isEmpty():
                 break
-            position = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(POSITIONS)).cast("int")
-            child = F.xxhash64("key", F.lit(level), position, F.substring("sketch", position + 1, F.lit(1)))
-            members = large.where(F.col("same") < STOP).select(child.alias("key"), "id", "sketch")
+            # Positions that no other tree reads: TREES of them at the roots, then four a tree.
+            base = F.lit(TREES + 1) + 4 * F.pmod("tree", F.lit(TREES))
+            chosen = F.sequence(F.lit(0), F.lit(1)) if level == 1 else F.array(2 + F.floor(F.col("tree") / TREES))
+            children = large.where(F.col("same") < STOP).withColumn("turn", F.explode(chosen))
+            position = (base + F.col("turn")).cast("int")
+            child = F.xxhash64("key", position, F.substring(F.col("sketch"), position, F.lit(1)))
+            # Branches of the second level are told apart by ``tree``, as their children read positions of their own.
+            tree = F.col("tree") + TREES * F.col("turn") if level == 1 else F.col("tree")
+            members = children.select(tree.cast("int").alias("tree"), child.alias("key"), "id", "sketch")
     compared = small_nodes[0]
     for more in small_nodes[1:]:
         compared = compared.unionByName(more)
-    found = compared.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_compare_nodes, "a long, b long")
+    found = compared.repartition("key").sortWithinPartitions("key").mapInArrow(_compare_nodes, "a long, b long")
     return found.unionByName(links)
 
 
@@ -265,7 +276,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
 
     ``threshold`` (p, q): sets are linked when q * shared >= p * together.
     """
-    spark = docs.sparkSession
     rows = sketches(docs, words, id_col, text_col)
     sets = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     of_class = rows.where(sets).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
@@ -298,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[label[own]]), pa.array(ids[own])], ["a", "b"])
 
     def together(groups: DataFrame) -> DataFrame:
-        return groups.repartition(partitions(spark), "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "id")
+        return groups.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "id")
 
     links = together(small.select("cluster", "chunk", "id", "shingles")).mapInArrow(join_groups, "a long, b long")
     if not large.isEmpty():
@@ -317,37 +327,132 @@ def _large_links(large: DataFrame, together, join_groups, threshold: tuple[int,
     from pyspark.sql.window import Window
 
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    order = Window.partitionBy("cluster").orderBy(F.xxhash64("id", F.lit(1)), "id")
-    pivots = large.withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS)
-    everywhere = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    order = Window.partitionBy("cluster").orderBy(F.xxhash64("id", F.lit(2)), "id")
+    # Thinned by hash first, so that no task sorts a cluster.
+    thinned = large.where(F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / (2 * COUNTED))) == 0)
+    counted = materialise(thinned.withColumn("at", F.row_number().over(order)).where(F.col("at") <= COUNTED), "counted")
+    everywhere = counted.where(F.col("at") <= PIVOTS).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     columns = ["cluster", "chunk", "id", "shingles"]
     dealt = large.select(columns).unionByName(everywhere.select(columns)).dropDuplicates(["cluster", "chunk", "id"])
     first = materialise(together(dealt).mapInArrow(join_groups, "a long, b long"), "links")
 
-    # What isn't in its cluster's main component meets every chunk of the cluster.
-    joined = large.select("cluster", "id", "size").join(connected_components(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # What isn't in its cluster's main component meets the rest of the cluster.
+    joined = large.select("cluster", "id").join(connected_components(first), "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = joined.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = materialise(counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "main")
-    others = materialise(joined.join(main, "cluster").where("component <> main").select("id", "component"), "others")
-    if others.isEmpty():
+    main = materialise(counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1"), "main")
+    status = materialise(joined.join(main, "cluster").select("id", "component", (F.col("component") != F.col("main")).alias("outside")), "status")
+    if status.isEmpty():
         return first
+    members = materialise(large.join(status, "id"), "outsiders")
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 1):
+            token, n = np.unique(np.concatenate(_sets(t, "shingles")), return_counts=True)
+            kept = np.argsort(-n, kind="stable")[:FREQUENT]
+            kept = np.sort(kept[n[kept] > 1])  # by token
+            columns = [t.column("cluster")[:1].combine_chunks(), t.column("size")[:1].combine_chunks(), pa.array([token[kept].tobytes()]), pa.array([n[kept].astype(np.uint64).tobytes()])]
+            yield pa.RecordBatch.from_arrays(columns, ["cluster", "size", "shingles", "n"])
+
+    some = counted.join(main.select("cluster"), "cluster", "left_semi").select("cluster", "size", "shingles").repartition("cluster").sortWithinPartitions("cluster")
+    lists = some.mapInArrow(frequent, "cluster long, size long, shingles binary, n binary").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    nothing = lambda t: F.lit(None).cast(t)
+    rows = members.select("cluster", "chunk", "id", "size", "component", "outside", "shingles", nothing("binary").alias("n")).unionByName(
+        lists.select("cluster", "chunk", nothing("long").alias("id"), "size", nothing("long").alias("component"), nothing("boolean").alias("outside"), "shingles", "n")
+    )
+    schema = "cluster long, part long, id long, n long, component long, outside boolean, keys binary, places binary"
+    beginnings = together(rows).mapInArrow(_beginnings(threshold), schema)
+    pairs = beginnings.repartition("cluster", "part").sortWithinPartitions("cluster", "part").mapInArrow(_meeting(threshold), "a long, b long")
+    return first.unionByName(_verified(materialise(pairs.distinct(), "pairs"), members, threshold))
+
+
+# If two sets reach the threshold and are put in one order of tokens, then the beginning of the longer (all but a share
+# ``threshold`` of its length, and one more) and a shorter beginning of the other hold a common token, the first of all,
+# from which on enough of either is left.
+
+
+def _beginnings(threshold: tuple[int, int]):
+    """A map over chunks of members and their cluster's frequent tokens: the beginning of each member's ordered set, a row for each part of the token space."""
+    up, down = threshold
 
-    def join_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, 2):
-            ids, visits, group = t.column("id").to_numpy(), t.column("visits").to_numpy(), Group(_sets(t, "shingles"), threshold)
-            a, b = [], []
-            for i in np.flatnonzero(visits):
-                hit = np.flatnonzero(group.linked(i) & (ids != ids[i]))
-                a.append(np.full(len(hit), ids[i])), b.append(ids[hit])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                where = {x: k for k, x in enumerate(dict.fromkeys(ids.tolist()))}
-                names = np.array(list(where))
-                label = roots(len(names), np.array([where[x] for x in a.tolist()], int), np.array([where[x] for x in b.tolist()], int))
-                own = np.flatnonzero(label != np.arange(len(names)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[label[own]]), pa.array(names[own])], ["a", "b"])
-
-    visiting = large.join(others.select("id"), "id").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    visited = large.select(*columns, F.lit(0).alias("visits")).unionByName(visiting.select(*columns, F.lit(1).alias("visits")))
-    second = together(visited.select("cluster", "chunk", "id", "visits", "shingles")).mapInArrow(join_others, "a long, b long")
-    return first.unionByName(second)
+            common, weight = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            out: list[tuple] = []
+            rows = sorted(t.to_pylist(), key=lambda r: r["id"] is not None)  # the list comes first
+            for r in rows:
+                tokens = np.frombuffer(r["shingles"], np.uint64)
+                if r["id"] is None:
+                    common, weight = tokens, np.frombuffer(r["n"], np.uint64)
+                    continue
+                n = len(tokens)
+                most = n - -(-up * n // down) + 1
+                at = np.searchsorted(common, tokens)
+                count = np.zeros(n, np.uint64)
+                if len(common):
+                    at[at == len(common)] = 0
+                    count = np.where(common[at] == tokens, weight[at], 0)
+                chosen = np.lexsort((tokens, count))[:most]
+                keys, places = tokens[chosen], np.arange(len(chosen), dtype=np.int64)
+                part = (keys % np.uint64(-(-r["size"] // CHUNK))).astype(np.int64)
+                by_part = np.argsort(part, kind="stable")
+                part, keys, places = part[by_part], keys[by_part], places[by_part]
+                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+                for low, high in zip(cuts, [*cuts[1:], len(part)]):
+                    out.append((r["cluster"], int(part[low]), r["id"], n, r["component"], r["outside"], keys[low:high].tobytes(), places[low:high].tobytes()))
+            names = ["cluster", "part", "id", "n", "component", "outside", "keys", "places"]
+            types = [pa.int64()] * 5 + [pa.bool_(), pa.binary(), pa.binary()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names)
+
+    return run
+
+
+def _meeting(threshold: tuple[int, int]):
+    """A map over the parts of clusters: pairs of members that share a token of their beginnings, within the bounds."""
+    up, down = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 2):
+            found = [np.frombuffer(b, np.uint64) for b in t.column("keys").to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            key = np.concatenate(found)
+            place = np.concatenate([np.frombuffer(b, np.int64) for b in t.column("places").to_pylist()])
+            ids, size, component, outside = (t.column(c).to_numpy() for c in ("id", "n", "component", "outside"))
+            n = size[row]
+            early = np.flatnonzero(place < n - -(-2 * up * n // (up + down)) + 1)
+            early = early[np.argsort(key[early], kind="stable")]
+            low, high = np.searchsorted(key[early], key, "left"), np.searchsorted(key[early], key, "right")
+            done = 0
+            while done < len(key):  # as many matches at a time as memory holds
+                upto = max(done + 1, int(np.searchsorted(np.cumsum(high[done:] - low[done:]), 2_000_000)) + done)
+                length = high[done:upto] - low[done:upto]
+                p = np.repeat(np.arange(done, upto), length)
+                i = early[np.repeat(low[done:upto] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+                x, y = row[p], row[i]
+                fits = (component[x] != component[y]) & (outside[x] | outside[y]) & (size[y] <= size[x]) & (up * size[x] <= down * size[y])
+                fits &= (up + down) * np.minimum(size[x] - place[p], size[y] - place[i]) >= up * (size[x] + size[y])
+                x, y = ids[x[fits]], ids[y[fits]]
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                done = upto
+
+    return run
+
+
+def _verified(pairs: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    up, down = threshold
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(down * shared >= up * (len(x) + len(y) - shared))
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+
+    of = lambda c: members.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
+    return materialise(both.mapInArrow(verify, "a long, b long"), "links")
