@@ -5,7 +5,7 @@ text) and its score is its negative rank, which makes sentencepiece merge the lo
 identity. Pre-tokens are encoded one by one; ids are decoded by the inverse mapping of their pieces.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded alike; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored. A vocabulary of more than 65,536 tokens is an error.
 """
 
 from __future__ import annotations
@@ -56,6 +56,8 @@ class Codec:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if self.model.get_piece_size() - 1 > 1 << 16:
+            raise ValueError("ids are kept as 16-bit numbers: the vocabulary may have 65,536 tokens at most")
         characters = byte_characters()
         self.to_characters = {b: c for b, c in enumerate(characters)}
         to_byte = {c: b for b, c in enumerate(characters)}

@@ -36,15 +36,17 @@ BINS = 512
 THRESHOLD = 0.3
 
 _CLASSES = {
-    "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:", "loud": b"!?", "odd": b"#$%&*@^~_=+<>\\/{}[]",
-    "bar": b"|", "line": b"\n\r", "quote": b"\"'()-",
+    "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:", "loud": b"!?", "odd": b"#$%&*@^~_=+<>\\/{}[]|`",
+    "line": b"\n\r", "quote": b"\"'()-",
 }
 _TABLE = np.zeros((256, len(_CLASSES)))
 for _i, _bytes in enumerate(_CLASSES.values()):
     _TABLE[list(_bytes), _i] = 1
-_WORD_ENDS_ODD = re.compile(rb"[!#$%&*|]+(?=\s|\Z)")
+#: Words that end in a symbol other than sentence punctuation, and words without a letter.
+_SYMBOL_ENDS = re.compile(rb"[!#$%&*+/<=>@\\^_`{|}~-](?=\s|\Z)")
+_NO_LETTER = re.compile(rb"(?<!\S)[^A-Za-z\x80-\xff\s]+(?!\S)")
 
-N_FEATURES = len(_CLASSES) + 10
+N_FEATURES = len(_CLASSES) + 12
 
 
 def statistics(text: str) -> list[float]:
@@ -57,6 +59,9 @@ def statistics(text: str) -> list[float]:
     repeats = sum(map(bytes.__eq__, words[1:], words[:-1]))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     top = max(counts.values(), default=0)
+    lengths = list(map(len, words))
+    mean_length = sum(lengths) / n_words
+    spread = math.sqrt(max(sum(x * x for x in lengths) / n_words - mean_length**2, 0.0))
     entropy = -sum(c / n_words * math.log(c / n_words) for c in counts.values())
     return [
         *np.sqrt(shares).tolist(),
@@ -68,7 +73,9 @@ def statistics(text: str) -> list[float]:
         math.sqrt(repeats / n_words),
         entropy / math.log(n_words + 1) if words else 0.0,
         math.sqrt(1 - len(set(lines)) / max(len(lines), 1)) if lines else 0.0,
-        math.sqrt(len(_WORD_ENDS_ODD.findall(raw)) / n_words),
+        math.sqrt(len(_SYMBOL_ENDS.findall(raw)) / n_words),
+        math.sqrt(len(_NO_LETTER.findall(raw)) / n_words),
+        math.log1p(spread),
         math.log1p(len(raw) / max(len(lines), 1)),
     ]
 

@@ -22,7 +22,8 @@ from .common import materialise, text_or_empty
 MULTIPLIER = 2862933555777941757
 INCREMENT = 1
 
-#: A key jumps about ln(n) times: 22 on average even for 2**31 shards, and more than 128 times with a chance below 1e-50.
+#: A key jumps about ln(n) times: 22 on average even for 2**31 shards, and more than 128 times with a chance below 1e-50;
+#: such a key would fail the job, not get a wrong shard.
 MOST_JUMPS = 128
 
 _MASK32 = 0xFFFFFFFF
@@ -68,15 +69,16 @@ def jump_shards(key: Column, shards: int) -> Column:
         zero.alias("grown"),
     )
     steps = F.sequence(F.lit(1), F.lit(min(shards + 1, MOST_JUMPS)))
-    return F.aggregate(steps, start, step, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
+    found = lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown"))
+    return F.aggregate(steps, start, step, lambda s: F.when(s["jump"] > shards, found(s)).otherwise(F.raise_error(F.lit("a key jumps too often"))))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard, size, checksum and slot of every row.
 
     The texts are read once and leave the scan as a few numbers. Slots are numbered in two levels: rows are dealt to
-    about sqrt(n) buckets by the hash of their key, counted, and numbered inside a bucket behind the counts of the
-    buckets before it, so that no task holds a shard.
+    about sqrt(n) buckets by hash, counted, and numbered inside a bucket behind the counts of the buckets before it, so
+    that no task holds a shard, nor the rows that repeat one key.
     """
     text = text_or_empty(text_col)
     rows = materialise(
@@ -85,18 +87,18 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
             (F.octet_length(text).cast("long") + 1).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             jump_shards(F.col(id_col), shards).alias("at"),
-        ).select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown_shard")),
+        ).select("doc_id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("at.grown").alias("grown_shard"), F.monotonically_increasing_id().alias("row")),
         "shards",
     )
     buckets = max(1, math.isqrt(rows.count()))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("shard", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "row")
     return (
         rows.withColumn("place", F.row_number().over(inside) - 1)
         .join(starts, ["shard", "bucket"])

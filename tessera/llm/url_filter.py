@@ -1,7 +1,8 @@
 """URL verdicts: host and path rules first, then gradient-boosted trees on lexical features, in DataFrame operations only.
 
 The trees are trained from the URLs that the rules label. Features: length, host and path depth, digit ratio, character
-entropy, parameter count, and the smoothed block rate of the host's suffix among the labelled URLs.
+entropy, parameter count, and the smoothed block rate of the host's suffix among the labelled URLs. A URL that trains gets
+that rate from the other folds, so that no label is a feature of its own row.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the model
 like any other; with labels of one kind only, that verdict goes to every other URL; without any labels it is ``allow``;
@@ -30,8 +31,8 @@ RULES = [
 #: Bound on the labelled rows that train the trees; a larger labelled set is thinned by the hash of the URL.
 MOST_TRAINING_ROWS = 20_000
 TREES, DEPTH, STEP, SEED = 20, 4, 0.2, 7
-#: Weight of the overall block rate in the rate of a suffix.
-SMOOTHING = 20.0
+#: Weight of the overall block rate in the rate of a suffix, and folds from whose others a training row takes its rate.
+SMOOTHING, FOLDS = 20.0, 5
 
 FEATURES = ["url_length", "host_depth", "path_depth", "digit_ratio", "entropy", "params", "suffix_rate", "suffix_share"]
 
@@ -96,17 +97,18 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         fallback = "block" if blocked else "allow"
         return urls.select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.lit(fallback)).alias("verdict"), F.lit(None).cast("double").alias("score"))
 
-    # Written out, so that the join has an exchange on either side and a very common suffix can be split.
-    suffixes = materialise(
-        labelled.groupBy("suffix").agg(
-            ((F.sum("label") + SMOOTHING * blocked / total) / (F.count(F.lit(1)) + SMOOTHING)).alias("suffix_rate"),
-            (F.count(F.lit(1)) / F.lit(float(total))).alias("suffix_share"),
-        ),
-        "suffixes",
-    )
-    urls = urls.join(suffixes, "suffix", "left").fillna({"suffix_rate": blocked / total, "suffix_share": 0.0})
+    # Written out, so that the joins have an exchange on either side and a very common suffix can be split.
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(FOLDS)))
+    folds = materialise(labelled.groupBy("suffix", "fold").agg(F.sum("label").alias("fold_blocked"), F.count(F.lit(1)).alias("fold_n")), "folds")
+    whole = materialise(folds.groupBy("suffix").agg(F.sum("fold_blocked").alias("blocked"), F.sum("fold_n").alias("n")), "suffixes")
+    rate = lambda blocked_, n: (blocked_ + SMOOTHING * blocked / total) / (n + SMOOTHING)
+    share = (F.coalesce("n", F.lit(0)) / F.lit(float(total))).alias("suffix_share")
+    inputs = [c for c in FEATURES if not c.startswith("suffix")]
     thin = max(1, -(-total // MOST_TRAINING_ROWS))
-    training = urls.where("label is not null").where(F.pmod(F.xxhash64("_url"), F.lit(thin)) == 0).coalesce(8)
+    chosen = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(thin)) == 0).join(whole, "suffix").join(folds, ["suffix", "fold"])
+    training = materialise(chosen.select(*inputs, rate(F.col("blocked") - F.col("fold_blocked"), F.col("n") - F.col("fold_n")).alias("suffix_rate"), share, "label").coalesce(8), "training")
+    none = F.lit(0)
+    urls = urls.join(whole, "suffix", "left").withColumns({"suffix_rate": rate(F.coalesce("blocked", none), F.coalesce("n", none)), "suffix_share": share})
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=FEATURES, outputCol="_features"),

@@ -1,5 +1,7 @@
 """The pipeline's stages keep clean documents and columns, and each decision takes effect."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import common
 
@@ -34,7 +36,33 @@ def test_stages(spark, tmp_path):
     assert set(kept[2]) == clean - {402}
     assert set(kept[3]) == set(kept[2]) and "[SECRET]" in kept[3][403] and all(kept[3][i] == t for i, t in kept[2].items() if i != 403)
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == set(kept[3])
-    assert common.release(spark) > 0
+    other = common.materialise(docs, "other")  # what others wrote stays
+    assert corpus_pipeline.SCRATCH.release(spark) > 0 and other.count() == docs.count()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty, blank and very long texts, repeated rows, no labels, and an empty table."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = words(5, 30_000)
+    secret = 'x token = "q8Zx81Lk20Vb77Yt55Nw" y'
+    rows = [(1, None, "s"), (2, "", "s"), (None, " \n", None), (3, long, "s"), (4, secret, None), (None, secret + " z", "s"), (5, "plain " * 30, "s"), (5, "plain " * 30, "s"), (None, None, None)]
+    docs = make(spark, rows).withColumns({"_id": F.lit(1), "_live": F.lit("x"), "row": F.lit("r"), "component_id": F.lit(None).cast("int")}).repartition(3)
+    for empty in (False, True):
+        now, counts = docs.where(F.lit(not empty)), []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = str(tmp_path / f"odd{k}{empty}")
+            stage(spark, now, str(tmp_path)).write.parquet(out)
+            before, now = now, spark.read.parquet(out)
+            assert k == 4 or now.columns == before.columns
+            counts.append(now.count())
+        if empty:
+            assert counts == [0] * 5
+        else:
+            # Null, empty and blank are one text; so are the repeated rows.
+            assert counts[:4] == [9, 5, 5, 5]
+            texts = [r.text or "" for r in before.collect()]
+            assert sum("[SECRET]" in t for t in texts) == 2 and not any("q8Zx81" in t for t in texts) and long in texts
+            assert now.select("doc_id").distinct().count() == 4  # none (the blank one, and one with a secret), 3, 4, 5
 
 
 def test_stages_decide_by_row(spark, tmp_path):
