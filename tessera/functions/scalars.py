@@ -3,27 +3,48 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TAU = 2 * math.pi
 
-# Patterns of the scalar domains that scene files may use.
-_NUMBER = r"[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?"
-DOMAINS = {
-    "nonNegativeInt": r"^\+?\d+$",
-    "positiveDouble": r"^\+?(?=.*[1-9])(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?$",
-    "zeroToOneDouble": r"^\+?(0*(\.\d*)?|0*1(\.0*)?)$",
-    "Vector2": rf"^\s*{_NUMBER}(\s+{_NUMBER}){{1}}\s*$",
-    "Vector3": rf"^\s*{_NUMBER}(\s+{_NUMBER}){{2}}\s*$",
-    "Vector4": rf"^\s*{_NUMBER}(\s+{_NUMBER}){{3}}\s*$",
-    "pairList": r"^\s*\d+,\d+(\s+\d+,\d+)*\s*$",
+# The scalar domains that scene files may use, as patterns of lists of numbers and as ranges of one number
+# (type, least value, whether the least value itself belongs to it, greatest value).
+_REAL, _WHOLE, _COUNT, _PAIR = r"[+-]?\d+(\.\d+)?(e[+-]?\d+)?", r"[+-]?\d+", r"\d+", r"\d+,\d+"
+_PATTERNS = {
+    "Vector2": (_REAL, "{1}"), "Vector3": (_REAL, "{2}"), "Vector4": (_REAL, "{3}"), "Vector": (_REAL, "+"),
+    "Vector3Int": (_WHOLE, "{2}"), "Vector4Int": (_WHOLE, "{3}"), "VectorInt": (_WHOLE, "*"),
+    "Vector3UnsignedInt": (_COUNT, "{2}"), "Vector4UnsignedInt": (_COUNT, "{3}"), "VectorUnsignedInt": (_COUNT, "*"),
+    "pairList": (_PAIR, "*"), "twoPairs": (_PAIR, "{1}"),
 }
+_RANGES = {
+    "nonNegativeInt": ("int", 0, True, 2**32 - 1), "positiveInt": ("int", 0, False, 2**32 - 1), "nonNegativeDouble": ("double", 0, True, float("inf")),
+    "positiveDouble": ("double", 0, False, float("inf")), "zeroToOneDouble": ("double", 0, True, 1),
+}
+_SPACE = r"[ \t\r\n]"
+
+
+def domain_pattern(domain: str) -> str:
+    """The whole text of a value in a list domain, or of any number in a range domain."""
+    if domain in _PATTERNS:
+        item, times = _PATTERNS[domain]
+        return rf"^{_SPACE}*{item}({_SPACE}+{item}){times}{_SPACE}*$"
+    number = r"[+-]?\d+" if _RANGES[domain][0] == "int" else r"([+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|INF)"
+    return rf"^{_SPACE}*{number}{_SPACE}*$"
 
 
 def in_domain(text: Column, domain: str) -> Column:
-    return text.rlike(DOMAINS[domain])
+    """Whether a text is a value of a domain: by its pattern, and by its value where the domain is a range."""
+    fits = text.rlike(domain_pattern(domain).replace("$", r"\z"))
+    if domain in _PATTERNS:
+        return fits
+    _, least, inclusive, most = _RANGES[domain]
+    clean = F.regexp_replace(text, _SPACE, "")
+    value = F.when(clean == "INF", F.lit(float("inf"))).otherwise(clean.try_cast("double"))
+    return fits & F.coalesce((value >= least if inclusive else value > least) & (value <= float(most)), F.lit(False))
 
 
 def tokens(text: Column) -> Column:
@@ -58,6 +79,14 @@ def parse_bools(text: Column, size: int | None = None) -> Column:
     return _prefix(F.transform(tokens(text), lambda t: F.when(t.isin("true", "1"), True).when(t.isin("false", "0"), False)), size)
 
 
+def parse_pair(text: Column) -> Column:
+    """One pair "a,b" as ``struct(ok, a, b)``; nulls where the text is anything else."""
+    t = F.trim(text)
+    ok = t.rlike(r"^\d+,\d+$")
+    ab = F.split(t, ",")
+    return F.struct(ok.alias("ok"), F.when(ok, ab[0].try_cast("long")).alias("a"), F.when(ok, F.try_element_at(ab, F.lit(2)).try_cast("long")).alias("b"))
+
+
 def parse_pairs(text: Column) -> Column:
     """Tokens "a,b" packed as a * 2**32 + b."""
 
@@ -81,12 +110,14 @@ def relative_angle(a: Column, b: Column, full: bool = False) -> Column:
     return (wrap_2pi if full else wrap_pi)(b - a)
 
 
-def gcd(a: Column, b: Column, steps: int = 93) -> Column:
-    """Greatest common divisor of longs; 93 Euclidean steps reach any pair of them."""
-    start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of longs, by as many Euclidean steps as the smaller one can need."""
+    a, b = F.abs(a.cast("long")), F.abs(b.cast("long"))
+    # Each two steps halve the smaller number at least by the golden ratio squared; the first may only swap.
+    steps = F.ceil(F.log2(F.least(a, b).cast("double") + 1) * 1.4405).cast("int") + 3
     zero = F.lit(0).cast("long")
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.coalesce(F.try_mod(s["a"], s["b"]), zero).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["a"])
+    return F.aggregate(F.sequence(F.lit(1), steps), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
 
 
 # Stops of the default colour gradient (value, red, green, blue).
@@ -189,8 +220,8 @@ def geometry_text(kind: Column, radius: Column, extent: Column) -> Column:
     from . import vectors as V
 
     return (
-        F.when(kind == "sphere", F.concat(F.lit("sphere radius "), radius.cast("string")))
-        .when(kind == "box", F.concat(F.lit("box extent "), V.to_text(extent)))
+        F.when(kind == "sphere", F.concat(F.lit("Sphere , radius: "), radius.cast("string")))
+        .when(kind == "box", F.concat(F.lit("Box,  extent: "), V.to_text(extent, "\n")))
         .otherwise(F.raise_error(F.concat(F.lit("no description for geometry "), kind)))
     )
 
@@ -215,7 +246,66 @@ def uniform(low: float, high: float, seed: int) -> Column:
     return F.rand(seed) * (high - low) + low
 
 
+def normal(mean: float, deviation: float, seed: int) -> Column:
+    return F.randn(seed) * deviation + mean
+
+
 def truncated_normal(mean: float, deviation: float, low: float, high: float, seed: int) -> Column:
-    """Normal values within bounds, by rejection: the first of 64 draws that fits, else a uniform one (below 1e-9 if the bounds hold a third of the mass)."""
-    draws = F.array(*(F.randn(seed + i) * deviation + mean for i in range(64)))
-    return F.coalesce(F.get(F.filter(draws, lambda x: (x >= low) & (x <= high)), F.lit(0)), uniform(low, high, seed))
+    """Normal values within bounds, by the inverse distribution function of a uniform share of the mass between them."""
+    standard = NormalDist()
+    a, b = (low - mean) / deviation, (high - mean) / deviation
+    mirrored = a > 0  # the far end of the upper tail has no digits left
+    if mirrored:
+        a, b = -b, -a
+    p, q = standard.cdf(a), standard.cdf(b)
+
+    @F.pandas_udf("double")
+    def place(share: pd.Series) -> pd.Series:
+        x = share.map(lambda u: standard.inv_cdf(min(max(p + u * (q - p), 5e-324), 1 - 2**-53))).clip(a, b)
+        return ((-x if mirrored else x) * deviation + mean).clip(low, high)
+
+    return place(F.rand(seed))
+
+
+def palette(index: Column, colours: list[tuple[float, float, float]]) -> Column:
+    """``struct(red, green, blue)`` of an 8-bit index; null beyond the palette."""
+    entries = F.array(*(F.struct(F.lit(float(r)).alias("red"), F.lit(float(g)).alias("green"), F.lit(float(b)).alias("blue")) for r, g, b in colours))
+    return F.get(entries, index.bitwiseAND(F.lit(255)).cast("int"))
+
+
+def packed_depth(depth: Column) -> Column:
+    """A depth in [0, 1) as three bytes, the highest first."""
+    whole = F.floor(depth * F.lit(float(1 << 24))).cast("long")
+    return F.array(*(F.shiftright(whole, s).bitwiseAND(F.lit(255)) for s in (16, 8, 0)))
+
+
+def material_text(lines: Column) -> Column:
+    """The lines of a material, each ended by a line feed."""
+    return F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+
+
+def prox_disk_scaled(n: Column, x: Column, y: Column, mu) -> Column:
+    """Nearest point of the half line for ``n`` and, with radius mu times it, of the disk for (x, y)."""
+    p = F.greatest(n, F.lit(0.0))
+    d = prox_disk(x, y, p * mu)
+    return F.array(p, d[0], d[1])
+
+
+def prox_ellipsoid(v: Column, axes: Column, rounds: int = 60) -> Column:
+    """Nearest point of the ellipsoid with half ``axes`` about the origin: v_i a_i^2 / (a_i^2 + t), t by bisection to the last digits.
+
+    A zero axis leaves its component zero.
+    """
+    square = F.transform(axes, lambda a: a * a)
+    inside = lambda t: F.aggregate(F.zip_with(v, axes, lambda x, a: F.coalesce(F.try_divide(x * a, a * a + t) * F.try_divide(x * a, a * a + t), F.when(x == 0, 0.0).otherwise(F.lit(float("inf"))))), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(F.aggregate(F.zip_with(v, axes, lambda x, a: x * a * x * a), F.lit(0.0), lambda s, x: s + x))
+    narrow = lambda s, _: F.struct(F.when(inside((s["low"] + s["high"]) / 2) > 1, (s["low"] + s["high"]) / 2).otherwise(s["low"]).alias("low"), F.when(inside((s["low"] + s["high"]) / 2) > 1, s["high"]).otherwise((s["low"] + s["high"]) / 2).alias("high"))
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.0).alias("low"), norm.alias("high")), narrow, lambda s: s["high"])
+    outside = F.zip_with(v, square, lambda x, a2: F.coalesce(F.try_divide(x * a2, a2 + t), F.lit(0.0)))
+    return F.when(F.coalesce(inside(F.lit(0.0)) <= 1, F.lit(False)), v).otherwise(outside)
+
+
+def prox_half_line_ellipsoid(n: Column, v: Column, axes: Column) -> Column:
+    """Nearest point of the half line for ``n``, and for ``v`` of the ellipsoid whose half axes are ``axes`` times it."""
+    p = F.greatest(n, F.lit(0.0))
+    return F.concat(F.array(p), prox_ellipsoid(v, F.transform(axes, lambda a: a * p)))

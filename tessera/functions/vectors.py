@@ -121,30 +121,32 @@ def homogeneous(q: Column, t: Column) -> Column:
 
 
 def basis(v: Column) -> Column:
-    """Three orthonormal vectors, the first along ``v``; the second is taken in the plane of its larger of x and z, and y."""
+    """Three orthonormal vectors, the first along ``v``; the second has no y where the first has more of x than of z, else no x, and the third is their product."""
     length = F.sqrt(dot3(v, v))
     e = [p / length for p in parts(v)]
     x, y, z = e
-    in_xy, in_yz = F.sqrt(x * x + y * y), F.sqrt(y * y + z * z)
+    in_xz, in_yz = F.sqrt(x * x + z * z), F.sqrt(y * y + z * z)
     flat = F.abs(x) > F.abs(z)
-    second = [F.when(flat, a).otherwise(b) for a, b in ((-y / in_xy, F.lit(0.0)), (x / in_xy, -z / in_yz), (F.lit(0.0), y / in_yz))]
+    second = [F.when(flat, a).otherwise(b) for a, b in ((-z / in_xz, F.lit(0.0)), (F.lit(0.0), z / in_yz), (x / in_xz, -y / in_yz))]
     return F.when(length > 0, F.array(vec(*e), vec(*second), vec(*_cross(e, second))))
 
 
-def upright(columns: Column) -> Column:
-    """Axes (an array of three) turned in a cycle so that the one that points most along z comes last."""
-    a, b, c = columns[0], columns[1], columns[2]
-    za, zb, zc = F.abs(a[2]), F.abs(b[2]), F.abs(c[2])
-    return F.when((zc >= za) & (zc >= zb), F.array(a, b, c)).when(za >= zb, F.array(b, c, a)).otherwise(F.array(c, a, b))
+def upright(matrix: Column) -> Column:
+    """The columns of a rotation matrix turned in a cycle: the first one comes last if the first row has the largest last entry, the second one if the second row has it."""
+    x, y, z = (matrix[i][2] for i in range(3))
+    turned = lambda i, j, k: F.transform(matrix, lambda row: F.array(row[i], row[j], row[k]))
+    return F.when((x > y) & (x > z), turned(1, 2, 0)).when((y > x) & (y > z), turned(2, 0, 1)).otherwise(matrix)
 
 
 def is_finite(v: Column) -> Column:
     return F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def is_orthogonal(axes: Column, eps: float = 1e-6) -> Column:
+def is_orthogonal(axes: Column, eps: float = 1e-6, signed: bool = False) -> Column:
+    """No two of three axes have an inner product beyond ``eps``; with ``signed`` only products above it count."""
     a, b, c = axes[0], axes[1], axes[2]
-    return (F.abs(dot3(a, b)) <= eps) & (F.abs(dot3(b, c)) <= eps) & (F.abs(dot3(a, c)) <= eps)
+    size = (lambda x: x) if signed else F.abs
+    return (size(dot3(a, b)) <= eps) & (size(dot3(b, c)) <= eps) & (size(dot3(a, c)) <= eps)
 
 
 def clamp(v: Column, low: Column, high: Column) -> Column:
@@ -152,8 +154,8 @@ def clamp(v: Column, low: Column, high: Column) -> Column:
 
 
 def box_corners(extent: Column) -> Column:
-    """The eight corners of a box about the origin; corner i takes the upper side of axis k where bit k of i is set."""
-    return F.array(*(vec(*(extent[k] * (0.5 if i >> k & 1 else -0.5) for k in range(3))) for i in range(8)))
+    """The eight corners of a box about the origin; corner i takes the lower side of axis k where bit k of i is set."""
+    return F.array(*(vec(*(extent[k] * (-0.5 if i >> k & 1 else 0.5) for k in range(3))) for i in range(8)))
 
 
 def ray_point(origin: Column, direction: Column, t: Column) -> Column:

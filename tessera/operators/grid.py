@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 
 def cell_index(v: Column, low: float, width: float, cells: int) -> Column:
     """Index of the cell that holds ``v``, clamped to the grid."""
@@ -59,11 +61,11 @@ def stale_removed(neighbours: DataFrame) -> DataFrame:
     return neighbours.where("in_neighbour_map").withColumn("overlaps", F.lit(False))
 
 
-def kd_tree(points: DataFrame, levels: int, error: float = 0.001) -> list[dict]:
+def kd_tree(points: DataFrame, levels: int, error: float | None = 0.001) -> list[dict]:
     """Leaves of a kd-tree by medians: cell_id, level, idx, min, max. Axes take turns from x.
 
-    One pass a level splits all its nodes at once, by approximate medians of bounded error; the driver holds the
-    2**levels boxes alone.
+    One pass a level splits all its nodes at once, by approximate medians of bounded ``error``, or exact ones where it is
+    None (then a node's distinct values must fit a task); the driver holds the 2**levels boxes alone.
     """
     box = points.agg(*(F.min(c) for c in "xyz"), *(F.max(c) for c in "xyz")).first()
     if box is None or box[0] is None:
@@ -72,14 +74,15 @@ def kd_tree(points: DataFrame, levels: int, error: float = 0.001) -> list[dict]:
     for level in range(levels):
         axis = level % 3
         placed = assign_leaf(points, leaves)
-        found = placed.groupBy("leaf").agg(F.percentile_approx("xyz"[axis], 0.5, int(1 / error)).alias("cut")).collect()  # one number a leaf
+        median = F.percentile("xyz"[axis], 0.5) if error is None else F.percentile_approx("xyz"[axis], 0.5, int(1 / error))
+        found = placed.groupBy("leaf").agg(median.alias("cut")).collect()  # one number a leaf
         cuts = {r["leaf"]: r["cut"] for r in found}
         split = []
         for leaf in leaves:
-            cut = cuts.get(leaf["idx"], (leaf["min"][axis] + leaf["max"][axis]) / 2)
+            cut_at = cuts.get(leaf["idx"], (leaf["min"][axis] + leaf["max"][axis]) / 2)
             upper = [*leaf["max"]]
             lower = [*leaf["min"]]
-            upper[axis] = lower[axis] = cut
+            upper[axis] = lower[axis] = cut_at
             split += [
                 {"level": level + 1, "idx": 2 * leaf["idx"], "min": leaf["min"], "max": upper},
                 {"level": level + 1, "idx": 2 * leaf["idx"] + 1, "min": lower, "max": leaf["max"]},
@@ -104,16 +107,44 @@ def assign_leaf(points: DataFrame, leaves: list[dict]) -> DataFrame:
     return points.withColumn("leaf", walk(leaves, 0))
 
 
-def nearest_distance(bodies: DataFrame, cell: float) -> DataFrame:
-    """id and distance to the nearest other body within ``cell``, by grid cells; bodies without one are left out."""
-    at = lambda c: F.floor(F.col(c) / cell)
+_POSITION = ["x", "y", "z"]
+
+
+def nearest_distance(bodies: DataFrame, cell: float | None = None) -> DataFrame:
+    """id and distance to the nearest other body, for all bodies but a single one.
+
+    Bodies that share a place have distance 0. The others look through the cells around their own; what is found within
+    a cell's width is proven, the rest looks again with cells of twice the width. Cells start below the mean spacing.
+    """
+    placed = cut(bodies.groupBy(*_POSITION).agg(F.collect_list("id").alias("ids")))
+    done = placed.where(F.size("ids") > 1).select(F.explode("ids").alias("id"), F.lit(0.0).alias("distance"))
+    n, *box = placed.agg(F.count(F.lit(1)), *(f(c) for c in "xyz" for f in (F.min, F.max))).first()
+    if n < 2:
+        return done
+    sides = [high - low for low, high in zip(box[::2], box[1::2])]
+    extent = max(sides)
+    if cell is None:
+        cell = max(math.prod(max(s, extent / n) for s in sides) / n, 0.0) ** (1 / 3) / 2 or extent
+    pending = placed.where(F.size("ids") == 1).select(F.col("ids")[0].alias("id"), *_POSITION)
     near = F.sequence(F.lit(-1), F.lit(1))
-    placed = bodies.select("id", "x", "y", "z", at("x").alias("cx"), at("y").alias("cy"), at("z").alias("cz"))
-    around = placed.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("dz", F.explode(near))
-    a = around.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "x", "y", "z")), *((F.col(f"c{c}") + F.col(f"d{c}")).alias(f"c{c}") for c in "xyz"))
-    d2 = sum(((F.col(c) - F.col(f"{c}_a")) * (F.col(c) - F.col(f"{c}_a")) for c in "xyz"), F.lit(0.0))
-    found = a.join(placed, ["cx", "cy", "cz"]).where("id <> id_a").where(d2 <= cell * cell)
-    return found.groupBy(F.col("id_a").alias("id")).agg(F.sqrt(F.min(d2)).alias("distance"))
+    while True:
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: E731, B023
+        others = placed.select(*_POSITION, *(at(c).alias(f"c{c}") for c in "xyz"))
+        around = pending.select("id", *(F.col(c).alias(f"{c}_a") for c in "xyz"), *(at(c).alias(f"a{c}") for c in "xyz"))
+        for c in "xyz":
+            around = around.withColumn("_d", F.explode(near)).withColumn(f"c{c}", F.col(f"a{c}") + F.col("_d")).drop("_d", f"a{c}")
+        d2 = sum(((F.col(c) - F.col(f"{c}_a")) * (F.col(c) - F.col(f"{c}_a")) for c in "xyz"), F.lit(0.0))
+        itself = (F.col("x") == F.col("x_a")) & (F.col("y") == F.col("y_a")) & (F.col("z") == F.col("z_a"))
+        found = around.join(others, ["cx", "cy", "cz"]).where(~itself).groupBy("id").agg(F.sqrt(F.min(d2)).alias("distance"))
+        found = found if cell > extent else found.where(F.col("distance") <= cell)
+        found = cut(found)
+        done = done.unionByName(found)
+        if cell > extent:  # the cells around hold all bodies
+            return done
+        pending = cut(pending.join(found.select("id"), "id", "left_anti"))
+        if pending.isEmpty():
+            return done
+        cell *= 2
 
 
 def histogram(values: DataFrame, column: str, width: float) -> DataFrame:
@@ -163,7 +194,8 @@ def _unit(v: tuple) -> tuple:
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``position``, the place in insertion order; rows are numbered per range, then shifted by the ranges before."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # From a checkpoint: the partitions are named in two places, which must mean the same ones.
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,24 +40,37 @@ def overlaps_brute(bodies: DataFrame) -> DataFrame:
     return _contacts(_side(bodies, "a").join(_side(bodies, "b"), (F.col("id_a") < F.col("id_b")) & _touch()))
 
 
-def overlaps(bodies: DataFrame, cell: float | None = None) -> DataFrame:
-    """The same contacts by grid cells.
+def overlaps(bodies: DataFrame) -> DataFrame:
+    """The same contacts by grid cells, one grid for each class of radii.
 
-    A cell is as wide as the largest diameter, so that partners lie in neighbouring cells. One side is copied to the 27
-    cells around its own, the other stays; an equi-join on the cell finds each pair once, and cells spread over all tasks.
+    A class holds the bodies whose diameters lie within a factor of two, and its cells are as wide as the largest of them.
+    Bodies of one class meet in their own and half of the neighbouring cells, which finds each pair once; a larger body
+    is copied to the 27 cells around it in the grid of its class, where each smaller one stands in the cell of its centre.
+    So one giant doesn't put everything into one cell. Equi-joins on the cell spread over all tasks.
     """
-    if cell is None:
-        cell = 2 * (bodies.agg(F.max("r")).first()[0] or 0.5)
-    at = lambda c: F.floor(F.col(c) / cell)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    placed = bodies.select(*_BODY, at("x").alias("cx"), at("y").alias("cy"), at("z").alias("cz"))
-    key = lambda x, y, z: F.struct(x.alias("cx"), y.alias("cy"), z.alias("cz"))
-    copied = (
-        placed.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("dz", F.explode(near))
-        .select(*(F.col(c).alias(f"{c}_a") for c in _BODY), key(F.col("cx") + F.col("dx"), F.col("cy") + F.col("dy"), F.col("cz") + F.col("dz")).alias("cell"))
-    )
-    own = placed.select(*(F.col(c).alias(f"{c}_b") for c in _BODY), key(F.col("cx"), F.col("cy"), F.col("cz")).alias("cell"))
-    return _contacts(copied.join(own, "cell").where((F.col("id_a") < F.col("id_b")) & _touch()))
+    largest = bodies.agg(F.max("r")).first()[0] or 0.5
+    top = math.ceil(math.log2(2 * largest)) if largest > 0 else 0
+    # The smallest bodies share a class, 2**40 below the largest.
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("r"), F.lit(largest * 2.0**-50)) * 2)).cast("int"), F.lit(top - 40))
+    classed = bodies.where("r >= 0").select(*_BODY, level.alias("level"))
+    levels = sorted(r[0] for r in classed.select("level").distinct().collect())  # 42 at most
+    at = lambda c, l: F.floor(F.col(c) / F.pow(F.lit(2.0), l)).cast("long")
+    near = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    steps = lambda offsets: F.explode(F.array(*(F.struct(*(F.lit(o).alias(c) for c, o in zip("xyz", offset))) for offset in offsets)))
+    own = classed.withColumns({f"c{c}": at(c, F.col("level")) for c in "xyz"})
+    key = lambda s: F.struct("level", *((F.col(f"c{c}") + F.col(f"s.{c}") if s else F.col(f"c{c}")).alias(c) for c in "xyz")).alias("cell")
+    side = lambda rows, suffix, *more: rows.select(*(F.col(c).alias(f"{c}_{suffix}") for c in _BODY), *more)
+    standing = side(own, "b", key(False))
+    half = [o for o in near if o >= (0, 0, 0)]
+    copied = side(own.withColumn("s", steps(half)), "a", key(True), (F.col("s") == F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"))).alias("same"))
+    pairs = copied.join(standing, "cell").where(_touch() & (~F.col("same") | (F.col("id_a") < F.col("id_b")))).drop("same")
+    if len(levels) > 1:
+        larger = side(own.where(F.col("level") > levels[0]).withColumn("s", steps(near)), "a", key(True))
+        classes = F.array(*map(F.lit, levels))
+        smaller = classed.withColumn("level", F.explode(F.filter(classes, lambda l: l > F.col("level")))).withColumns({f"c{c}": at(c, F.col("level")) for c in "xyz"})
+        pairs = pairs.unionByName(larger.join(side(smaller, "b", key(False)), "cell").where(_touch()))
+    found = _contacts(pairs)
+    return found.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "overlap")
 
 
 def overlaps_static(bodies: DataFrame, halfspaces: DataFrame) -> DataFrame:
@@ -104,8 +119,9 @@ def first_wins(parameters: DataFrame, order: str) -> DataFrame:
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default, enabled: Column | None = None) -> DataFrame:
-    """Adds ``value`` from ``table`` (key, value), the default where the key is missing, null where not ``enabled``."""
-    found = rows.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+    """Adds ``value`` from ``table`` (key, value), the default only where the key is missing, null where not ``enabled``."""
+    known = table.select(key, value).withColumn("_found", F.lit(True))
+    found = rows.join(known, key, "left").withColumn(value, F.when(F.col("_found"), F.col(value)).otherwise(F.lit(default))).drop("_found")
     return found if enabled is None else found.withColumn(value, F.when(enabled, F.col(value)))
 
 

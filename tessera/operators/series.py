@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,21 +33,55 @@ def previous(rows: DataFrame, value: str, key: list[str], order: list[str]) -> D
     return rows.withColumns({f"{value}_prev": F.lag(value).over(w), f"{value}_begin": F.first(value).over(w)})
 
 
-def frame_sampler(rows: DataFrame, key: list[str], time: str, fps: float) -> DataFrame:
-    """Frames that a sampler with reset keeps: the first, then each at which the time since the last kept one is a frame or more.
+def kept_frames(times: np.ndarray, last: float | None, fps: float) -> tuple[np.ndarray, float | None]:
+    """Which of the sorted ``times`` a sampler with reset keeps whose last kept one was ``last``; and the new last one.
 
-    What exceeds a frame is discarded, so that kept frames drift; this is sequential within a key, and a fold over the
-    key's ordered times does it inside the JVM. Returns key, kept (times) and frames (their number).
+    The first is kept, then each at which the time since the last kept one is a frame or more, and each at the very time
+    of the last kept one. What exceeds a frame is discarded, so that kept frames drift.
     """
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.lit(None).cast("double").alias("last"))
-
-    def step(s: Column, t: Column) -> Column:
-        keep = s["last"].isNull() | ((t - s["last"]) * fps >= 1)
-        return F.when(keep, F.struct(F.concat(s["kept"], F.array(t)).alias("kept"), t.alias("last"))).otherwise(s)
-
-    times = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("_times"))
-    kept = F.aggregate("_times", start, step, lambda s: s["kept"])
-    return times.select(*key, kept.alias("kept")).withColumn("frames", F.size("kept").cast("long"))
+    kept = np.zeros(len(times), bool)
+    at = 0
+    while at < len(times):
+        if last is not None:
+            same = int(np.searchsorted(times, last, "right"))
+            kept[at:same] = times[at:same] == last
+            # Near the bound rounding decides, so the first that fits is looked for around it.
+            near = max(int(np.searchsorted(times, last + 1 / fps)) - 2, at, same)
+            while near < len(times) and not (times[near] - last) * fps >= 1:
+                near += 1
+            at = near
+            if at == len(times):
+                break
+        last = float(times[at])
+        kept[at] = True
+        at += 1
+    return kept, last
+
+
+def frame_sampler(rows: DataFrame, key: str, time: str, fps: float) -> DataFrame:
+    """key, t, frame (from 1) of the frames that ``kept_frames`` keeps of each key.
+
+    Sorted rows stream past, and what is remembered of a key is its last kept time and count, whatever its length.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, frames = object(), None, 0
+        for batch in batches:
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if keys[low] != now:
+                    now, last, frames = keys[low], None, 0
+                kept, last = kept_frames(times[low:high], last, fps)
+                at = low + np.flatnonzero(kept)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(times[at]), pa.array(np.arange(frames + 1, frames + 1 + len(at)))], [key, "t", "frame"])
+                frames += len(at)
+
+    timed = rows.select(key, F.col(time).cast("double").alias("t")).where("t is not null")
+    return timed.repartition(key).sortWithinPartitions(key, "t").mapInArrow(run, f"{key} {kind}, t double, frame long")
 
 
 def resample(rows: DataFrame, key: str, time: str, value: str, start: float, end: float, step: float, linear: bool = True) -> DataFrame:

@@ -25,14 +25,17 @@ def sample_every_x(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT user_id, {_T} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    f"""WITH RECURSIVE f AS (SELECT user_id, CASE WHEN event_id % 10 = 0 THEN floor({_T} / 86400) * 86400 ELSE {_T} END AS t FROM events),
+e AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM f),
 s AS (SELECT user_id, n, t AS last, 1 AS frames FROM e WHERE n = 1
-  UNION ALL SELECT e.user_id, e.n, CASE WHEN (e.t - s.last) * 0.0001::DOUBLE >= 1 THEN e.t ELSE s.last END, s.frames + CASE WHEN (e.t - s.last) * 0.0001::DOUBLE >= 1 THEN 1 ELSE 0 END
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN (e.t - s.last) * 0.0001::DOUBLE >= 1 THEN e.t ELSE s.last END, s.frames + CASE WHEN (e.t - s.last) * 0.0001::DOUBLE >= 1 OR e.t = s.last THEN 1 ELSE 0 END
   FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
 SELECT user_id, CAST(max(frames) AS BIGINT) AS frames FROM s GROUP BY user_id"""
 )
 def frame_sampler(spark, sf):
-    return S.frame_sampler(_events(spark, sf), ["user_id"], "t", 0.0001).select("user_id", "frames")
+    # Every tenth event is told to the hour, so that times repeat.
+    e = _events(spark, sf).withColumn("t", F.when(F.col("event_id") % 10 == 0, F.floor(F.col("t") / 86400) * 86400.0).otherwise(F.col("t")))
+    return S.frame_sampler(e, "user_id", "t", 0.0001).groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"))
 
 
 @query("SELECT event_id, lag(value) OVER w AS value_prev, first_value(value) OVER w AS value_begin FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

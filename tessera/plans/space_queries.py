@@ -143,24 +143,35 @@ def split_weight(spark, sf):
 
 @query(
     f"""WITH {BODY}, near AS (SELECT a.id, sqrt(min((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z))) AS d FROM body a JOIN body b ON a.id <> b.id
- AND (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) <= 36 GROUP BY a.id)
+ GROUP BY a.id)
 SELECT CAST(floor(d / 0.5) AS BIGINT) AS bin, count(*) AS n, round((SELECT avg(d) FROM near), 6) AS mean, round((SELECT stddev_pop(d) FROM near), 6) AS std_deviation FROM near GROUP BY bin""", "ours"
 )
 def hist_nearest(spark, sf):
-    out = G.histogram(G.nearest_distance(bodies(spark, sf), 6.0), "distance", 0.5)
+    out = G.histogram(G.nearest_distance(bodies(spark, sf)), "distance", 0.5)
     return out.select("bin", "n", F.round("mean", 6).alias("mean"), F.round("std_deviation", 6).alias("std_deviation"))
 
 
-@query(None, "ours")
+@query(
+    f"""WITH {BODY}, l1 AS (SELECT *, CASE WHEN x < (SELECT quantile_cont(x, 0.5) FROM body) THEN 0 ELSE 1 END AS k1 FROM body),
+l2 AS (SELECT l1.*, 2 * k1 + CASE WHEN y < m THEN 0 ELSE 1 END AS k2 FROM l1 JOIN (SELECT k1 AS k, quantile_cont(y, 0.5) AS m FROM l1 GROUP BY k1) ON k = k1),
+l3 AS (SELECT l2.*, 2 * k2 + CASE WHEN z < m THEN 0 ELSE 1 END AS k3 FROM l2 JOIN (SELECT k2 AS k, quantile_cont(z, 0.5) AS m FROM l2 GROUP BY k2) ON k = k2)
+SELECT CAST(k3 AS INTEGER) AS leaf, count(*) AS bodies, min(x) AS min_x, max(x) AS max_x FROM l3 GROUP BY k3""", "ours"
+)
 def kd_tree_leaves(spark, sf):
     b = bodies(spark, sf)
-    leaves = G.kd_tree(b, 3)
+    leaves = G.kd_tree(b, 3, None)
     return G.assign_leaf(b, leaves).groupBy("leaf").agg(F.count(F.lit(1)).alias("bodies"), F.min("x").alias("min_x"), F.max("x").alias("max_x"))
 
 
-@query(f"WITH {BODY} SELECT (max(x) - min(x)) * (max(y) - min(y)) * (max(z) - min(z)) AS volume FROM body")
+# Edges along x, across x and y, and along z: the box is the smaller one of the upright and the turned one.
+@query(
+    f"""WITH {BODY}, w AS (SELECT max(x) - min(x) AS wx, max(y) - min(y) AS wy, max(z) - min(z) AS wz, max(x + y) - min(x + y) AS ws, max(x - y) - min(x - y) AS wd FROM body WHERE abs(x - y) <= 5)
+SELECT round(least(wx * wy * wz, ws * wd / 2 * wz), 6) AS volume FROM w"""
+)
 def minimum_box(spark, sf):
-    return G.minimum_box(bodies(spark, sf), [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]).select("volume")
+    h = 0.5**0.5
+    long = bodies(spark, sf).where("abs(x - y) <= 5")
+    return G.minimum_box(long, [(1.0, 0.0, 0.0), (h, h, 0.0), (0.0, 0.0, 1.0)]).select(F.round("volume", 6).alias("volume"))
 
 
 @query(None, "ours")
@@ -174,11 +185,14 @@ def jor_percussions(spark, sf):
     return found
 
 
-@query(f"WITH {BODY} SELECT round(sum(0.5 * mass * (x*x + y*y)), 3) AS translational, round(sum(mass * 9.81::DOUBLE * z), 3) AS potential FROM body", "ours")
+@query(
+    f"""WITH {BODY}, e AS (SELECT sum(0.5 * mass * (x*x + y*y)) AS t, sum(0.5 * mass * (z*z + 9)) AS o, sum(mass * 9.81::DOUBLE * z) AS p, sum(mass * sqrt(z*z + 9)) AS s FROM body)
+SELECT round(t, 3) AS translational, round(o, 3) AS rotational, round(p, 3) AS potential, round(s, 3) AS spin, round(t + o + p, 3) AS total FROM e""", "ours"
+)
 def energy_totals(spark, sf):
     zero = F.lit(0.0)
-    b = bodies(spark, sf).withColumns({"vx": F.col("x"), "vy": F.col("y"), "vz": zero, "wx": zero, "wy": zero, "wz": zero, "inertia": F.col("mass")})
-    return solver.energies(b).select(F.round("translational", 3).alias("translational"), F.round("potential", 3).alias("potential"))
+    b = bodies(spark, sf).withColumns({"vx": F.col("x"), "vy": F.col("y"), "vz": zero, "wx": zero, "wy": F.col("z"), "wz": F.lit(3.0), "inertia": F.col("mass")})
+    return solver.energies(b).select(*(F.round(c, 3).alias(c) for c in ("translational", "rotational", "potential", "spin", "total")))
 
 
 @query(f"WITH {BODY} SELECT id, row_number() OVER (ORDER BY id) AS position FROM body")

@@ -79,6 +79,8 @@ def read_binary(spark: SparkSession, path: str, nq: int = 7, nu: int = 6) -> Dat
                     columns = [[file] * bodies, [number] * bodies, [t] * bodies, [r[0] for r in rows], [list(r[1 : 1 + nq]) for r in rows], [list(r[1 + nq :]) for r in rows]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
                     at, number = at + size, number + 1
+                if at != len(view):
+                    raise ValueError(f"{file} ends inside a state")
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, schema(nq, nu))
 

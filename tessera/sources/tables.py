@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.scalars import tokens
 
-#: The part of a header that names a column.
-NAME = r"^([\w#]*\s?)*\w+"
+#: The part of a header that names a column: words, '#' and blanks, up to the last word character of them.
+NAME = r"^[\w#\s]*\w"
 
 
 def performance_table(texts: DataFrame, names: list[str], text_col: str = "text") -> DataFrame:
@@ -94,7 +94,7 @@ def mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw"))
     lines = lines.where(~F.col("raw").startswith("#")).select("file", "line", tokens(F.col("raw")).alias("t")).where(F.size("t") > 0)
     kind = lambda k: lines.where(F.col("t")[0] == k)
-    rest = F.slice("t", 2, 1 << 20)
+    rest = F.slice("t", F.lit(2), F.size("t"))
     floats = lambda k: kind(k).select("file", "line", F.transform(rest, lambda x: x.cast("double")).alias("v"))
     corners = F.transform(rest, lambda c: F.transform(F.split(c, "/"), lambda i: i.try_cast("int") - 1))
     return {"vertices": floats("v"), "texcoords": floats("vt"), "normals": floats("vn"), "faces": kind("f").where(F.size("t") == 5).select("file", "line", corners.alias("corners"))}
@@ -122,10 +122,10 @@ def scene(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFram
 
 
 def first_of_group(bodies: DataFrame, settings: DataFrame, order: str) -> DataFrame:
-    """Each body with the first settings (by ``order``) of its group: later ones don't replace it."""
+    """Each body with the first settings (by ``order``) of its group, later ones don't replace it; nulls where the group has none."""
     rest = [c for c in settings.columns if c != "group_nr"]
     first = settings.groupBy("group_nr").agg(F.min_by(F.struct(*rest), F.col(order)).alias("s"))
-    return bodies.join(first, "group_nr").select(*bodies.columns, *(F.col(f"s.{c}").alias(c) for c in rest if c not in bodies.columns))
+    return bodies.join(first, "group_nr", "left").select(*bodies.columns, *(F.col(f"s.{c}").alias(c) for c in rest if c not in bodies.columns))
 
 
 @dataclass

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.series import kept_frames
+
 
 def playback(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A stored series as a stream, some files at a time."""
@@ -29,15 +32,12 @@ def sampled(frames: DataFrame, key: str, time: str, fps: float) -> DataFrame:
 
     def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n = state.get if state.exists else (None, 0)
-        times = sorted(t for batch in batches for t in batch["t"])
-        out = []
-        for t in times:
-            if last is None or (t - last) * fps >= 1:
-                last, n = t, n + 1
-                out.append((k[0], t, n))
+        times = np.sort(np.concatenate([batch["t"].to_numpy() for batch in batches]))
+        kept, last = kept_frames(times, last, fps)
+        times = times[kept]
         if last is not None:
-            state.update((last, n))
-        yield pd.DataFrame(out, columns=["key", "t", "frame"])
+            state.update((last, n + len(times)))
+        yield pd.DataFrame({"key": np.full(len(times), k[0]), "t": times, "frame": np.arange(n + 1, n + 1 + len(times))})
 
     rows = frames.select(F.col(key).cast("long").alias("key"), F.col(time).cast("double").alias("t"))
     return rows.groupBy("key").applyInPandasWithState(keep, "key long, t double, frame long", "last double, n long", "append", GroupStateTimeout.NoTimeout)

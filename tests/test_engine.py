@@ -46,7 +46,11 @@ def test_cells_find_what_brute_force_finds(spark):
     b = bodies(spark)
     brute = {(r.id1, r.id2): r.overlap for r in pairs.overlaps_brute(b).collect()}
     assert brute and {(r.id1, r.id2): r.overlap for r in pairs.overlaps(b).collect()} == brute
-    assert pairs.max_overlap(pairs.overlaps(b.limit(0), 1.0)).first()[0] == 0
+    assert pairs.max_overlap(pairs.overlaps(b.limit(0))).first()[0] == 0
+    sizes = b.unionByName(spark.createDataFrame([(900, 10.0, 9.0, 5.0, 30.0), (901, 3.0, 3.0, 3.0, 6.0), (902, 3.0, 3.0, 3.0, 0.0)], "id long, x double, y double, z double, r double"))
+    brute = {(r.id1, r.id2): r.overlap for r in pairs.overlaps_brute(sizes).collect()}
+    assert {(r.id1, r.id2): r.overlap for r in pairs.overlaps(sizes).collect()} == pytest.approx(brute) and len(brute) > 300
+    assert pairs.overlaps(sizes).count() == len(brute)
     with pytest.raises(Exception, match="two bodies"):
         one = F.lit(1).cast("long")
         spark.range(1).select(pairs.contact_tag(one, one, one, one, one, one)).collect()
@@ -70,9 +74,31 @@ def test_kd_tree_and_boxes(spark):
     assert parts.groupBy("id").agg(F.sum("weight").alias("w")).where("abs(w - 1) > 1e-9").isEmpty()
 
 
+def test_nearest_distance_is_exact_for_all(spark):
+    rows = [(i, float(i % 7), float(i * 3 % 5), 0.0) for i in range(20)] + [(100, 500.0, 0.0, 0.0), (101, 0.25, 0.0, 0.0), (102, 500.0, 0.0, 300.0)]
+    found = {r.id: r.distance for r in grid.nearest_distance(spark.createDataFrame(rows, "id long, x double, y double, z double")).collect()}
+    assert found == pytest.approx({i: min(math.dist(p, q) for j, *q in rows if j != i) for i, *p in rows})
+    assert grid.nearest_distance(spark.createDataFrame(rows[:1], "id long, x double, y double, z double")).count() == 0
+
+
 def test_series(spark):
     s = spark.createDataFrame([(1, float(t)) for t in (0, 3, 4, 9, 10, 14, 20)], "k long, t double")
-    assert series.frame_sampler(s, ["k"], "t", 0.2).first()["kept"] == [0, 9, 14, 20]
+    kept = lambda times, fps: [(r.t, r.frame) for r in series.frame_sampler(spark.createDataFrame([(1, float(t)) for t in times], "k long, t double"), "k", "t", fps).orderBy("frame").collect()]
+    assert kept([0, 3, 4, 9, 10, 14, 20], 0.2) == [(0, 1), (9, 2), (14, 3), (20, 4)]
+    assert kept([0, 0, 3, 3, 9, 9, 9, 10], 0.2) == [(0, 1), (0, 2), (9, 3), (9, 4), (9, 5)]  # repeated times of a kept frame are kept
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        times, fps = np.sort(rng.integers(0, 60, 40) / 8), float(rng.choice([0.3, 1, 2.5]))
+        last, want = None, []
+        for t in times:
+            keep = last is None or (t - last) * fps >= 1 or t == last
+            last = t if keep else last
+            want.append(keep)
+        for cut in (0, 7, 40):
+            first, last = series.kept_frames(times[:cut], None, fps)
+            assert [*first, *series.kept_frames(times[cut:], last, fps)[0]] == want
     v = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 100.0)], "k long, t double, v double")
     assert [r.v for r in series.resample(v, "k", "t", "v", -5.0, 15.0, 5.0).orderBy("t").collect()] == [None, 0, 50, 100, None]
     assert series.recorded(s, "nothing", "k").count() == 0
@@ -93,6 +119,9 @@ def test_state_store(spark, tmp_path):
     (tmp_path / "bin/x.sim").write_bytes(states.to_binary([(0.5, [(7, [1.0] * 7, [2.0] * 6)]), (1.0, [(7, [1.5] * 7, [2.0] * 6)])]))
     read = states.read_binary(spark, str(tmp_path / "bin")).orderBy("state_nr").collect()
     assert [(r.t, r.body_id, r.q[0]) for r in read] == [(0.5, 7, 1.0), (1.0, 7, 1.5)]
+    (tmp_path / "bin/y.sim").write_bytes((tmp_path / "bin/x.sim").read_bytes()[:-3])
+    with pytest.raises(Exception, match="ends inside a state"):
+        states.read_binary(spark, str(tmp_path / "bin")).collect()
 
 
 def test_side_files(spark, tmp_path):

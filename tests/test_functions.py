@@ -62,12 +62,53 @@ def test_rotation_keeps_length_and_matrices_agree(spark):
     assert [sum(a * b for a, b in zip(row, (3, -4, 12, 1))) for row in m[:3]] == pytest.approx(turned)
     assert one(spark, V.quaternion_of(lit(m))) == pytest.approx(one(spark, q))
     assert one(spark, V.is_orthogonal(lit(one(spark, V.basis(v)))))
-    assert one(spark, V.upright(F.array(V.vec(0, 0, 1), V.vec(1, 0, 0), V.vec(0, 1, 0))))[2] == [0, 0, 1]
+    # By hand: the last entries of the rows are (1, 0, 0), (0, 1, 0) and (0, 0, 1) in turn; signs count.
+    first, second = F.array(V.vec(2, 3, 1), V.vec(4, 5, 0), V.vec(6, 7, 0)), F.array(V.vec(2, 3, 0), V.vec(4, 5, 1), V.vec(6, 7, -9))
+    assert one(spark, V.upright(first)) == [[3, 1, 2], [5, 0, 4], [7, 0, 6]]
+    assert one(spark, V.upright(second)) == [[0, 2, 3], [1, 4, 5], [-9, 6, 7]]
+    assert one(spark, V.upright(F.array(V.vec(2, 3, 0), V.vec(4, 5, 0), V.vec(6, 7, 1)))) == [[2, 3, 0], [4, 5, 0], [6, 7, 1]]
+    assert one(spark, V.basis(V.vec(0, 0, 2))) == [[0, 0, 1], [0, 1, 0], [-1, 0, 0]]
+    assert one(spark, V.basis(V.vec(5, 0, 0))) == [[1, 0, 0], [0, 0, 1], [0, -1, 0]]
+    assert one(spark, V.box_corners(V.vec(2, 4, 6)))[:3] == [[1, 2, 3], [-1, 2, 3], [1, -2, 3]]
+    assert one(spark, S.geometry_text(F.lit("sphere"), F.lit(0.5), V.vec(1, 1, 1))) == "Sphere , radius: 0.5"
     assert not one(spark, V.is_finite(F.array(F.lit(1.0), F.lit(float("inf")))))
     with pytest.raises(Exception):
         one(spark, V.component(v, 3))
 
 
+# Texts inside and outside of the scalar domains.
+DOMAINS = {
+    "Vector3": (["1 2 3", " 1.5 -2e3 +3\n"], [".5 1 2", "1. 2 3", "1E5 2 3", "1 2", "1 2 3 4", ""]), "Vector2": (["1 2"], ["1"]), "Vector": (["1 2", "1 2 3 4 5"], ["1"]),
+    "VectorInt": (["1", "-1 2"], ["1.0"]), "Vector3UnsignedInt": (["1 2 3"], ["-1 2 3"]), "pairList": (["1,2", "1,2 3,4"], ["1,2,3", "1, 2"]), "twoPairs": (["1,2 3,4"], ["1,2"]),
+    "positiveInt": (["1", " 4294967295 "], ["0", "4294967296", "1.0", "-1"]), "nonNegativeInt": (["0", "+7"], ["", "-1"]), "nonNegativeDouble": (["0", "1e-1", "INF", ".5"], ["-0.1", "NaN", "+", "."]),
+    "positiveDouble": (["1e-3"], ["0", "0.0e5"]), "zeroToOneDouble": (["0", "1.0", "1e-1"], ["", "+", ".", "1.01"]),
+}
+
+
+def test_domains(spark):
+    for domain, (inside, outside) in DOMAINS.items():
+        rows = spark.createDataFrame([(t, True) for t in inside] + [(t, False) for t in outside], "t string, fits boolean")
+        assert rows.where(S.in_domain(F.col("t"), domain) != F.col("fits")).collect() == [], domain
+    assert tuple(one(spark, S.parse_pair(F.lit(" 3,4 ")))) == (True, 3, 4) and tuple(one(spark, S.parse_pair(F.lit("3,4 5,6")))) == (False, None, None)
+
+
+def test_ellipsoid_prox(spark):
+    axes = [2.0, 1.0, 0.5]
+    for v in ([3.0, -2.0, 1.0], [0.1, 0.1, 0.1], [0.0, 5.0, 0.0]):
+        p = one(spark, S.prox_ellipsoid(lit(v), lit(axes)))
+        level = sum((x / a) ** 2 for x, a in zip(v, axes))
+        if level <= 1:
+            assert p == v
+            continue
+        assert sum((x / a) ** 2 for x, a in zip(p, axes)) == pytest.approx(1)
+        # The way to the nearest point stands upright on the surface.
+        rates = [(x - y) * a * a / y for x, y, a in zip(v, p, axes) if abs(y) > 1e-12]
+        assert rates == pytest.approx([rates[0]] * len(rates), rel=1e-6) and rates[0] > 0
+    assert one(spark, S.prox_ellipsoid(V.vec(3, 1, 0), V.vec(2, 0, 1))) == pytest.approx([2, 0, 0])
+    assert one(spark, S.prox_half_line_ellipsoid(F.lit(-1.0), V.vec(3, 1, 0), V.vec(2, 1, 1))) == [0, 0, 0, 0]
+    assert one(spark, S.prox_disk_scaled(F.lit(2.0), F.lit(3.0), F.lit(0.0), F.lit(0.5))) == [2, 1, 0]
+
+
 def test_prox_and_colours(spark):
     assert one(spark, S.prox_cone(F.lit(-1.0), F.lit(0.1), F.lit(0.0), F.lit(0.5))) == [0, 0, 0]
     n, x, _ = one(spark, S.prox_cone(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)))
