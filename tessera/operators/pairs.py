@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..functions.ids import pair_key
 
 #: Standard contact parameters, for material pairs without their own.
@@ -151,3 +152,12 @@ def overlap_by_kind(kind_a: Column, kind_b: Column, of_spheres: Column, of_a_in_
 def with_neighbours(rows: DataFrame, neighbours: DataFrame, rank: str = "rank") -> DataFrame:
     """Adds a neighbour's data by rank, null where there is none, and whether it was found."""
     return rows.join(neighbours.withColumn("found", F.lit(True)), rank, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def contact_frames(contacts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Contacts (id1, id2) of spheres with their frame: e_z from the first body to the second, e_x and e_y across it, and the point on the first one's surface."""
+    both = contacts.join(_side(bodies, "a").withColumnRenamed("id_a", "id1"), "id1").join(_side(bodies, "b").withColumnRenamed("id_b", "id2"), "id2")
+    axes = V.basis(V.vec(*(F.col(f"{c}_b") - F.col(f"{c}_a") for c in "xyz")))
+    out = both.withColumn("axes", axes)
+    point = V.ray_point(V.vec(*(F.col(f"{c}_a") for c in "xyz")), F.col("axes")[0], F.col("r_a"))
+    return out.select("id1", "id2", F.col("axes")[1].alias("e_x"), F.col("axes")[2].alias("e_y"), F.col("axes")[0].alias("e_z"), point.alias("p"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,13 @@ def xml(rows: DataFrame, path: str, root: str, row: str, mode: str = "errorifexi
 def metrics(contacts: DataFrame) -> DataFrame:
     """Number of contacts and largest overlap, as one row."""
     return contacts.agg(F.count(F.lit(1)).alias("contacts"), F.greatest(F.lit(0.0), F.coalesce(F.max("overlap"), F.lit(0.0))).alias("max_overlap"))
+
+
+def raw(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file of raw bytes, through the file system that the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
