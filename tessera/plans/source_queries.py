@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import exchange as X
 from ..operators import grid as G
-from ..operators import lineage, solver
+from ..operators import impact, lineage, solver
 from ..operators import pairs as P
 from ..sources import sinks, states, tables
 from ..streaming import live
@@ -356,3 +356,23 @@ def event_sessions(spark, sf):
 def event_window_sliding(spark, sf):
     out = live.windows(table(spark, sf, "events"), "ts", "1 hour", "30 minutes")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+def _impacts(spark, sf):
+    b = bodies(spark, sf)
+    contacts = P.contact_frames(P.overlaps(b).select("id1", "id2"), b).withColumns({"mu": F.lit(0.3), "restitution": F.lit(0.5)})
+    return contacts, b.select("id", "mass", F.array(*((F.lit(20.0) - F.col(c)) / 10 for c in "xyz")).alias("u"))
+
+
+@query(f"WITH {_PAIRS} SELECT count(*) AS contacts, true AS settled, 0::BIGINT AS pulling, 0::BIGINT AS beyond_friction FROM contact", "ours")
+def percussion_laws(spark, sf):
+    """Percussions of all contacts of a scene: they settle, never pull, and stay within the friction cone."""
+    found = impact.percussions(*_impacts(spark, sf))
+    n, t = F.col("p")[0], F.hypot(F.col("p")[1], F.col("p")[2])
+    return found.agg(F.count(F.lit(1)).alias("contacts"), F.bool_and("settled").alias("settled"), F.count_if(n < 0).alias("pulling"), F.count_if(t > 0.3 * n + 1e-9).alias("beyond_friction"))
+
+
+@query(None, "ours")
+def percussions(spark, sf):
+    out = impact.percussions(*_impacts(spark, sf))
+    return out.select("id1", "id2", *(F.round(F.col("p")[i], 5).alias(c) for i, c in enumerate(("normal", "tangent_x", "tangent_y"))), "settled")
