@@ -1,15 +1,19 @@
 """Exact top-k by inner product over an impact-ordered index, a score at a time.
 
-Vectors are dealt into shards of bounded size, queries into blocks. In a shard, each dimension's vectors are kept by
-quantised value; such a posting segment has one impact for a query, the largest product that any of its vectors can
-reach there. Segments are processed by descending impact into accumulators, which with the impact of the next segment
-bound every score from above. Processing stops only when these bounds leave few vectors that could reach the best k
-known so far; those are rescored exactly. Ties go to the smaller id.
+Vectors are dealt into shards of bounded size. In a shard, each dimension's vectors are kept by quantised value; such a
+posting segment has one impact for a query, the largest product that any of its vectors can reach there. Segments are
+processed by descending impact into accumulators, which with the impact of the next segment bound every score from
+above. Processing stops only when these bounds leave few vectors that could reach the best k known so far; those are
+rescored exactly. Ties go to the smaller id.
+
+All queries run past the first shard; the k-th score that a query reaches there is a proven floor, which goes with it to
+the other shards. A task indexes one shard once and streams a block of queries past it: queries are copied once a shard,
+vectors once a block, and a block is as long as a task can work off, as it isn't held.
 
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part, nor does one without
-an id; missing trailing components count as 0; fewer than k candidates give fewer rows; repeated rows are candidates
-of their own, except that a query skips all rows with its id; an empty table gives an empty result; further columns
-are ignored.
+an id; missing trailing components count as 0; fewer than k candidates give fewer rows; rows that repeat an id are one
+candidate, with the best of their scores, and one query, which takes the best of its rows' scores and skips all rows
+with its id; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from pyspark.sql.window import Window
 
 from .common import materialise
 
-#: Rows of a shard and of a query block; they bound a task's memory and what a join row holds.
-SHARD_ROWS, BLOCK_ROWS = 4096, 256
+#: Rows of a shard; they bound a task's memory. Queries of a block, at the first shard and at the others; they bound its time.
+SHARD_ROWS, FIRST_QUERIES, QUERIES = 8192, 1024, 65_536
 #: Values per quantised level, rounds in which segments are processed, and possible members that are few enough to rescore.
 LEVEL, ROUNDS, FEW = 4, 8, 256
 
@@ -35,6 +39,7 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.repeats = len(np.unique(ids)) < len(ids)
         n, dims = vectors.shape
         levels = vectors // LEVEL
         order = np.argsort(levels, axis=0, kind="stable")
@@ -71,76 +76,103 @@ class Index:
             unseen -= np.bincount(rows, minlength=n).astype(np.int32)
             done = cut
             rest = float(impact[done]) if done < len(order) else 0.0
-            if done < len(order) and rest > 0 and done < len(order) // 2:
-                continue  # no bound is tight while most postings are missing
             upper = np.where(allowed, bound + unseen * rest, -np.inf)
             # The best by their bounds are rescored: k exact scores are a proven floor.
             best = np.argpartition(-upper, min(4 * k, n - 1))[: 4 * k]
             scored = np.union1d(scored, best[allowed[best]])
-            exact = np.sort(self.vectors[scored] @ query)[::-1]
+            _, exact = self._distinct(scored, self.vectors[scored] @ query)
+            exact = np.sort(exact)[::-1]
             floor = max([x for x in (known, int(exact[k - 1]) if len(exact) >= k else None) if x is not None], default=None)
             members = np.flatnonzero(upper >= floor) if floor is not None else np.flatnonzero(allowed)
             if len(members) <= FEW:
                 break
-        return self.ids[members], self.vectors[members] @ query
-
+        return self._distinct(members, self.vectors[members] @ query)
+
+    def _distinct(self, at: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows ``at``, each once, with the best of its scores."""
+        ids = self.ids[at]
+        if self.repeats and len(ids):
+            order = np.lexsort((-scores, ids))
+            ids, scores = ids[order], scores[order]
+            first = np.append(True, ids[1:] != ids[:-1])
+            ids, scores = ids[first], scores[first]
+        return ids, scores
+
+
+def _matrix(column: pa.Array, width: int = 0) -> np.ndarray:
+    """Lists of numbers as rows of a matrix of at least ``width`` columns, padded with zeros."""
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), max(int(lengths.max(initial=0)), width)), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def _search(k: int):
+    """A map over rows (pair, known, asks, id, v), a shard's vectors before a block of queries: query_id, vec_id, score."""
+
+    def of_shard(index: Index, queries: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        vectors = _matrix(queries.column(4), index.vectors.shape[1])
+        for q_id, known, q in zip(queries.column(3).to_pylist(), queries.column(1).to_pylist(), vectors):
+            found, scores = index.top(q[: index.vectors.shape[1]], q_id, k, known)
+            best = np.lexsort((found, -scores))[:k]
+            out += zip([q_id] * len(best), found[best].tolist(), scores[best].tolist())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], ["query_id", "vec_id", "score"])
 
-def _packed(rows: DataFrame, group: str) -> DataFrame:
-    """One row per ``group``: its ids and its components, as arrays; the group's size is bounded by how it was dealt."""
-    width = F.max(F.size("v"))
-    out = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"), width.alias("width"))
-    return out.select(group, "width", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: F.concat(r["v"], F.array_repeat(F.lit(0).cast("long"), F.col("width") - F.size(r["v"]))))).alias("values"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        index, pair = None, None
+        for batch in batches:
+            at, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (asks[1:] != asks[:-1]))[: len(at)]).tolist()
+            for low, high in zip(cuts, [*cuts[1:], len(at)]):
+                part = batch.slice(low, high - low)
+                if at[low] != pair:
+                    index, pair, held = None, at[low], []
+                if not asks[low]:
+                    held.append(part)
+                    continue
+                if index is None and held:
+                    width = max(int(np.diff(p.column(4).offsets.to_numpy()).max()) for p in held)
+                    index = Index(np.concatenate([p.column(3).to_numpy() for p in held]), np.vstack([_matrix(p.column(4), width) for p in held]))
+                    held = []
+                if index is not None:
+                    yield of_shard(index, part)
+
+    return run
 
 
 def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all rows for every row for which ``is_query`` holds."""
     v = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = materialise(
-        vectors.where(sound).select(
-            F.col(id_col).cast("long").alias("id"),
-            F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"),
-            F.coalesce(is_query, F.lit(False)).alias("asks"),
-        ),
-        "vectors",
+    rows = vectors.where(sound).select(
+        F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
-    n, asks = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asks // BLOCK_ROWS))
-    # Dealt evenly by row number within hash order: neither repeated ids nor repeated vectors can fill one shard.
-    deal = lambda m: F.pmod(F.monotonically_increasing_id(), F.lit(m)).cast("int")
-    shard = _packed(rows.withColumn("shard", deal(shards)), "shard")
-    block = _packed(rows.where("asks").withColumn("block", deal(blocks)), "block")
-    # Every block meets every shard: both sides name the pair, so that pairs spread over all tasks.
-    pairs = (
-        shard.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .join(
-            block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumnsRenamed({"ids": "q_ids", "values": "q_values", "width": "q_width"}),
-            ["shard", "block"],
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    # Dealt evenly by row number: neither repeated ids nor repeated vectors can fill one shard.
+    dealt = rows.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int"))
+    queries = rows.where("asks").groupBy("id", "v").agg(F.min("row").alias("row"))
+    n_queries = rows.where("asks").count()
+
+    def search(own: DataFrame, asking: DataFrame, low: int, high: int, size: int) -> DataFrame:
+        blocks = max(1, -(-n_queries // size))
+        pair = lambda shard, block: F.col(shard) * F.lit(blocks) + F.col(block)
+        own = own.where(F.col("shard").between(low, high - 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asking = asking.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        together = own.select(pair("shard", "block").alias("pair"), F.lit(None).cast("long").alias("known"), F.lit(False).alias("asks"), "id", "v").unionByName(
+            asking.select(pair("shard", "block").alias("pair"), "known", F.lit(True).alias("asks"), "id", "v")
         )
-        .select("ids", "values", "width", "q_ids", "q_values", "q_width")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, values, width, q_ids, q_values, q_width = (c[i] for c in batch.columns)
-                width, q_width = width.as_py(), q_width.as_py()
-                x = values.values.to_numpy().reshape(-1, width)
-                queries = q_values.values.to_numpy().reshape(-1, q_width)
-                if width < q_width:
-                    x = np.pad(x, ((0, 0), (0, q_width - width)))
-                elif q_width < width:
-                    queries = np.pad(queries, ((0, 0), (0, width - q_width)))
-                index = Index(ids.values.to_numpy(), x)
-                out: list[tuple] = []
-                for q_id, q in zip(q_ids.values.to_numpy().tolist(), queries):
-                    found, scores = index.top(q, q_id, k, None)
-                    best = np.lexsort((found, -scores))[:k]
-                    out += zip([q_id] * len(best), found[best].tolist(), scores[best].tolist())
-                columns = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = pairs.repartition(shards * blocks).mapInArrow(run, "query_id long, vec_id long, score long")
-    # Queries that repeat an id give the same rows; each counts once a shard and k times at most.
+        return together.repartitionByRange((high - low) * blocks, "pair").sortWithinPartitions("pair", "asks").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+
+    found = materialise(search(dealt, queries.withColumn("known", F.lit(None).cast("long")), 0, 1, FIRST_QUERIES), "found")
+    if shards > 1:
+        best = found.groupBy("query_id").agg(F.array_sort(F.collect_list(-F.col("score"))).alias("s"))  # k scores a row of the query
+        floors = best.select(F.col("query_id").alias("id"), F.when(F.size("s") >= k, -F.element_at("s", k)).alias("known"))
+        # Rows that repeat an id may name one vector twice among their scores: they go without a floor.
+        floors = queries.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(floors, "id").select("id", "known")
+        found = found.unionByName(search(dealt, queries.join(floors, "id", "left"), 1, shards, QUERIES))
+    scores = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
