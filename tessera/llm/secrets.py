@@ -5,9 +5,12 @@ and distinct owners: a value that many repositories share is a copied example, o
 Spans of the fixed patterns are always reported; free-standing random-looking strings are reported only where their
 value is owner-specific.
 
-Defined cases: a null text is empty; a null repository counts as one repository of its own; repeated rows are separate
-owners; ``redact`` replaces each row's own spans, whether its id is null or repeated; an empty table gives an empty
-result; further columns are ignored. Spans are in code points, end exclusive.
+Owners are distinct ids: a document's own copies don't make its secret a common one.
+
+Defined cases: a null text is empty; a null repository counts as one repository, and all rows without an id as one owner;
+repeated rows get the same spans each; ``redact`` replaces each row's own spans, whether its id is null or repeated, and
+keeps null texts null; an empty table gives an empty result; further columns are kept by ``redact`` and ignored by
+``scan``. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -53,6 +56,10 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
     return F.aggregate(pieces, start, step, lambda s: s["spans"])
 
 
+def may_hold_spans(text: Column) -> Column:
+    return text.rlike(ANY)
+
+
 def candidates(text: Column) -> Column:
     """All candidate spans of a text by start, then kind; added kinds only where they overlap no span of the fixed kinds and mix digits, capitals and small letters."""
     base = F.concat(*(_spans(text, i, pattern, group, least) for i, (_, pattern, group, least) in enumerate(KINDS)))
@@ -60,17 +67,16 @@ def candidates(text: Column) -> Column:
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
     free = F.filter(more, lambda m: mixed(m["value"]) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    return F.when(text.rlike(ANY), F.array_sort(F.concat(base, free), order)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(may_hold_spans(text), F.array_sort(F.concat(base, free), order)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, repositories, owners of every candidate value in ``found`` (hash, repo, owner: one row per value and owner)."""
-    per_repo = found.groupBy("hash", "repo").agg(F.count(F.lit(1)).alias("n"))
-    return per_repo.groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("owners"))
+    """hash, repositories, owners (both distinct) of every candidate value in ``found`` (hash, repo, owner). Counted before rows of a value meet."""
+    return found.groupBy("hash").agg(F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
-    """Per row: doc_id and spans, an array of (kind, start, end, copied) without the values; each document is an owner.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
+    """Per row: doc_id and spans, an array of (kind, start, end, copied) without the values; each id is an owner, unless ``owner_col`` names one.
 
     The texts are read once and leave the scan as spans with hashed values.
     """
@@ -79,12 +85,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.coalesce(F.col(repo_col), F.lit("")).alias("repo"),
+            F.coalesce(F.col(owner_col or id_col).cast("string"), F.lit("")).alias("owner"),
             F.transform(candidates(text_or_empty(text_col)), span).alias("found"),
         ).withColumn("row", F.monotonically_increasing_id()),
         "candidates",
     )
     some = rows.where(F.size("found") > 0)
-    values = some.select("row", "repo", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash"))
+    values = some.select("owner", "repo", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash"))
     # Written out, so that the join has an exchange on either side and the partition of a very common value can be split.
     owned = materialise(ownership(values), "ownership")
     copied = (F.col("repositories") >= COPIED_REPOSITORIES) & (F.col("owners") >= COPIED_OWNERS)
@@ -114,10 +121,11 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
-    """All rows, in which live-looking secrets are replaced; only rows with candidates take part in a join."""
-    maybe = text_or_empty(text_col).rlike(ANY)
-    rows = keyed(docs.where(maybe))
-    live = scan(rows, ROW, text_col, repo_col).select(F.col("doc_id").alias(ROW), F.filter("spans", lambda s: ~s["copied"]).alias("_live")).where(F.size("_live") > 0)
+    """All rows, in which live-looking secrets are replaced; only rows that may hold some take part in a join."""
+    maybe, live = "_tessera_maybe", "_tessera_live"
+    every = keyed(docs.withColumn(maybe, may_hold_spans(text_or_empty(text_col))))
+    rows = every.where(F.col(maybe))
+    spans = scan(rows, ROW, text_col, repo_col, owner_col=id_col).select(F.col("doc_id").alias(ROW), F.filter("spans", lambda s: ~s["copied"]).alias(live)).where(F.size(live) > 0)
 
     def step(state: Column, s: Column) -> Column:
         before = F.substring(F.col(text_col), state["at"] + 1, s["start"] - state["at"])
@@ -127,6 +135,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     rest = lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(F.col(text_col))))
-    changed = rows.join(live, ROW, "left")
-    changed = changed.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(F.aggregate("_live", start, step, rest)))
-    return changed.select(*docs.columns).unionByName(docs.where(~maybe))
+    changed = rows.join(spans, ROW, "left")
+    changed = changed.withColumn(text_col, F.when(F.col(live).isNull(), F.col(text_col)).otherwise(F.aggregate(live, start, step, rest)))
+    return changed.select(*docs.columns).unionByName(every.where(~F.col(maybe)).select(*docs.columns))
