@@ -50,15 +50,21 @@ def time_range(spark, sf):
     return S.between(e, "t", start + 3600, start + 360000).select("event_id")
 
 
-_GRID = f"""WITH e AS (SELECT user_id, {_T} - 1704067200 AS t, value FROM events),
-g AS (SELECT user_id, CAST(unnest(range(0, 11)) AS DOUBLE) * 86400 AS t FROM (SELECT DISTINCT user_id FROM events)),
+# Days from the first event's to the last one's, in seconds from the start of the first.
+_GRID = f"""WITH lim AS (SELECT floor(min({_T}) / 86400) * 86400 AS base, max({_T}) AS last FROM events),
+e AS (SELECT user_id, {_T} - base AS t, value FROM events, lim),
+days AS (SELECT CAST(unnest(range(0, CAST(floor((last - base) / 86400) AS BIGINT) + 1)) AS DOUBLE) * 86400 AS t FROM lim),
+g AS (SELECT user_id, t FROM (SELECT DISTINCT user_id FROM events), days),
 lo AS (SELECT g.user_id, g.t, e.t AS t0, e.value AS v0 FROM g ASOF LEFT JOIN e ON g.user_id = e.user_id AND g.t >= e.t),
 hi AS (SELECT g.user_id, g.t, e.t AS t1, e.value AS v1 FROM g ASOF LEFT JOIN e ON g.user_id = e.user_id AND g.t <= e.t)"""
 
 
 def _resampled(spark, sf, linear):
-    e = _events(spark, sf).withColumn("t", F.col("t") - 1704067200)
-    out = S.resample(e, "user_id", "t", "value", 0.0, 864000.0, 86400.0, linear)
+    e = _events(spark, sf)
+    first, last = e.agg(F.min("t"), F.max("t")).first()
+    base = (first or 0.0) // 86400 * 86400
+    e = e.withColumn("t", F.col("t") - base)
+    out = S.resample(e, "user_id", "t", "value", 0.0, ((last or 0.0) - base) // 86400 * 86400, 86400.0, linear)
     return out.select("user_id", "t", F.round("value", 6).alias("value"))
 
 
