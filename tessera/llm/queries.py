@@ -73,7 +73,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_byte_bpe, op4_quality, op5_top_k, op6_exact_dedup, op7_licenses, op8_secrets, op9_sharding, op10_url_filter)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_byte_bpe, op4_quality, op5_top_k, op6_exact_dedup, op7_licenses, op8_secrets, op9_sharding, op10_url_filter, op11_filter_audit)}
 
 ORACLE_SQL = {
     "op2_near_dedup": r"""
@@ -115,5 +121,46 @@ SELECT doc_id,
        doc_id = first_value(doc_id) OVER g AS kept,
        sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm ORDER BY points DESC, doc_id)
+""",
+    "op11_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), fails AS (
+  SELECT doc_id, part,
+         len(w) < 200 AS a,
+         100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM w
+), marks AS (
+  SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) AS failed,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = fails.doc_id AND l.quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = fails.doc_id AND l.toxic = 1) AS toxic
+  FROM fails
+), m AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM marks GROUP BY part, failed
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT [p.x, q.x, r.x, s.x, t.x] AS o FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+each AS (
+  SELECT part, o, step, o[step] AS f, n, good, toxic, failed, list_contains(failed, o[step]) AS here, list_has_any(failed, o[:step - 1]) AS earlier FROM m, steps
+), r AS (
+  SELECT part, o, step, f,
+         coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS kept,
+         coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS removed,
+         coalesce(sum(n) FILTER (here AND earlier), 0) AS redundant,
+         coalesce(sum(n) FILTER (here AND len(failed) = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (here AND NOT earlier), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (here AND NOT earlier), 0) AS toxic_lost
+  FROM each GROUP BY part, o, step, f
+)
+SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
 """,
 }
