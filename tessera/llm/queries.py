@@ -79,7 +79,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_byte_bpe, op4_quality, op5_top_k, op6_exact_dedup, op7_licenses, op8_secrets, op9_sharding, op10_url_filter, op11_filter_audit)}
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_byte_bpe, op4_quality, op5_top_k, op6_exact_dedup, op7_licenses, op8_secrets, op9_sharding, op10_url_filter, op11_filter_audit, op13_mixing)}
 
 ORACLE_SQL = {
     "op2_near_dedup": r"""
