@@ -33,7 +33,7 @@ def measured(texts):
     return list(zip(counts[0].tolist(), np.concatenate(distinct).tolist(), counts[1].tolist(), counts[2].tolist(), counts[3].tolist()))
 
 
-@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("block", [5, 64, 1 << 20])
 @pytest.mark.parametrize("bits", [2, 48])
 def test_scan(monkeypatch, block, bits):
     """Whatever the size of blocks, and where nearly all hashes collide."""
