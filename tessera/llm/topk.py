@@ -11,7 +11,8 @@ the other shards. A task indexes one shard once and streams a block of queries p
 vectors once a block, and a block is as long as a task can work off, as it isn't held.
 
 Defined cases: a vector that is null, empty or holds null or non-finite components takes no part, nor does one without
-an id; missing trailing components count as 0; fewer than k candidates give fewer rows; rows that repeat an id are one
+an id; a vector whose square could pass 2**53 fails the job, as bounds would no longer be exact (with 64 components:
+one beyond 46,000 at the default scale); missing trailing components count as 0; fewer than k candidates give fewer rows; rows that repeat an id are one
 candidate, with the best of their scores, and one query, which takes the best of its rows' scores and skips all rows
 with its id; an empty table gives an empty result; further columns are ignored.
 """
@@ -30,6 +31,8 @@ from .common import materialise
 
 #: Rows of a shard; they bound a task's memory. Queries of a block, at the first shard and at the others; they bound its time.
 SHARD_ROWS, FIRST_QUERIES, QUERIES = 8192, 1024, 65_536
+#: Bound on the square of a vector, up to which doubles hold all sums of products exactly.
+EXACT = float(1 << 53)
 #: Values per quantised level, rounds in which segments are processed, and possible members that are few enough to rescore.
 LEVEL, ROUNDS, FEW = 4, 8, 256
 
@@ -116,6 +119,7 @@ def _search(k: int):
         for q_id, known, q in zip(queries.column(3).to_pylist(), queries.column(1).to_pylist(), vectors):
             found, scores = index.top(q[: index.vectors.shape[1]], q_id, k, known)
             best = np.lexsort((found, -scores))[:k]
+            best = best[scores[best] >= known] if known is not None else best
             out += zip([q_id] * len(best), found[best].tolist(), scores[best].tolist())
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], ["query_id", "vec_id", "score"])
 
@@ -146,9 +150,10 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0,
     """query_id, rank (from 1), vec_id, score: the k best of all rows for every row for which ``is_query`` holds."""
     v = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.where(sound).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
-    )
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) * scale + 1
+    levels = F.when(F.size(v) * largest * largest < EXACT, F.transform(v, lambda x: F.floor(x.cast("double") * scale)))
+    levels = F.coalesce(levels, F.raise_error(F.lit("a vector is too long for exact scores")).cast("array<bigint>"))
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), levels.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     # Dealt evenly by row number: neither repeated ids nor repeated vectors can fill one shard.

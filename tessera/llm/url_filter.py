@@ -1,12 +1,12 @@
 """URL verdicts: host and path rules first, then gradient-boosted trees on lexical features, in DataFrame operations only.
 
-The trees are trained from the URLs that the rules label. Features: length, host and path depth, digit ratio, character
+The trees are trained from the distinct URLs that the rules label, each weighing as much as its rows. Features: length, host and path depth, digit ratio, character
 entropy, parameter count, and the smoothed block rate of the host's suffix among the labelled URLs. A URL that trains gets
 that rate from the other folds, so that no label is a feature of its own row.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the model
 like any other; with labels of one kind only, that verdict goes to every other URL; without any labels it is ``allow``;
-repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
+repeated rows are judged alike, and a URL of any number of rows trains once; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-#: Bound on the labelled rows that train the trees; a larger labelled set is thinned by the hash of the URL.
-MOST_TRAINING_ROWS = 20_000
+#: Bound on the distinct labelled URLs that train the trees, half of it for either verdict; a larger set is thinned by hash.
+MOST_TRAINING_URLS = 20_000
+#: Thinning aims at so much of the bound, many standard deviations below it.
+FILL = 0.9
 TREES, DEPTH, STEP, SEED = 20, 4, 0.2, 7
 #: Weight of the overall block rate in the rate of a suffix, and folds from whose others a training row takes its rate.
 SMOOTHING, FOLDS = 20.0, 5
@@ -104,15 +106,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rate = lambda blocked_, n: (blocked_ + SMOOTHING * blocked / total) / (n + SMOOTHING)
     share = (F.coalesce("n", F.lit(0)) / F.lit(float(total))).alias("suffix_share")
     inputs = [c for c in FEATURES if not c.startswith("suffix")]
-    thin = max(1, -(-total // MOST_TRAINING_ROWS))
-    chosen = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(thin)) == 0).join(whole, "suffix").join(folds, ["suffix", "fold"])
-    training = materialise(chosen.select(*inputs, rate(F.col("blocked") - F.col("fold_blocked"), F.col("n") - F.col("fold_n")).alias("suffix_rate"), share, "label").coalesce(8), "training")
+    # Each URL once, whatever its copies; the hash decides by URL, so that either verdict keeps about its share of the bound.
+    distinct = materialise(labelled.groupBy("_url", "suffix", "fold", "label", *inputs).agg(F.count(F.lit(1)).cast("double").alias("weight")), "labelled")
+    own = {label: n for label, n in distinct.groupBy("label").count().collect()}  # two rows
+    quota = MOST_TRAINING_URLS // 2
+    part = F.when(F.col("label") == 1, FILL * quota / own[1.0] if own[1.0] > quota else 1.0).otherwise(FILL * quota / own[0.0] if own[0.0] > quota else 1.0)
+    chosen = distinct.where(F.pmod(F.xxhash64("_url"), F.lit(1 << 31)) < part * (1 << 31)).join(whole, "suffix").join(folds, ["suffix", "fold"])
+    training = materialise(chosen.select(*inputs, rate(F.col("blocked") - F.col("fold_blocked"), F.col("n") - F.col("fold_n")).alias("suffix_rate"), share, "label", "weight").coalesce(8), "training")
     none = F.lit(0)
     urls = urls.join(whole, "suffix", "left").withColumns({"suffix_rate": rate(F.coalesce("blocked", none), F.coalesce("n", none)), "suffix_share": share})
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=FEATURES, outputCol="_features"),
-            GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_says", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED),
+            GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", predictionCol="_says", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED),
         ]
     ).fit(training)
     from pyspark.ml.functions import vector_to_array

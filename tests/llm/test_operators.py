@@ -509,3 +509,37 @@ def test_url_filter(spark):
     assert {r.verdict for r in rows.values()} <= {"allow", "block"}
     one = url_filter.judge(pages.where("url like '%shop.net/es%' or url is null"))
     assert {r.verdict for r in one.collect()} == {"block"}
+
+
+@pytest.mark.parametrize("copies", [50_000, 1_000_000])
+def test_urls_that_repeat(spark, copies):
+    """Two labelled URLs, or one of very many rows beside a few: trained on once each, judged by their rules."""
+    other = spark.createDataFrame([(-1, "http://example.com/en/x"), (-2, "http://shop.example.org/1?a=2"), (-3, None)], "page_id long, url string")
+    for url in ("http://a.net/fr/1", "http://b.net/es/zz?q=1", "http://www.example.com/en/7"):
+        pages = spark.range(copies).select(F.col("id").alias("page_id"), F.lit(url).alias("url"))
+        second = spark.range(copies if copies < 100_000 else 3).select((F.col("id") + copies).alias("page_id"), F.lit("https://c.com/").alias("url"))
+        judged = url_filter.judge(pages.unionByName(second).unionByName(other))
+        verdicts = {(r.rule, r.verdict) for r in judged.where("page_id >= 0").select("rule", "verdict").distinct().collect()}
+        want = "www.example.com/en/" if "www" in url else f"net/{url[13:15]}/"
+        assert verdicts == {(want, "allow" if "www" in url else "block"), ("com/", "allow")}
+        assert judged.where("page_id < 0").count() == 3
+
+
+def test_verdicts_follow_the_models_own_probabilities(spark):
+    pages = [(i, f"http://h{i % 7}.{'net' if i % 3 else 'com'}/{'fr' if i % 2 else 'en'}/{i}") for i in range(300)] + [(1000 + i, f"http://x{i}.org/{'fr' if i % 2 else ''}/{i * 77}?a=1&b=2") for i in range(60)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
+    free = [r for r in rows if r.rule is None]
+    assert free and all((r.verdict == "block") == (r.score > 0.5) for r in free) and all(r.score is None for r in rows if r.rule)
+
+
+def test_vectors_too_long_for_exact_scores(spark):
+    schema = "vec_id long, embedding array<double>"
+    for big in ([1e30, 1.0], [3e38, 3e38], [-1e30, 0.0]):
+        with pytest.raises(Exception, match="too long for exact"):
+            topk.exact_top_k(spark.createDataFrame([(0, [1.0, 1.0]), (1, big)], schema), F.col("vec_id") % 50 == 0).collect()
+    large = [(i, [float((i * 7919) % 40_001) - 20_000, float((i * 104729) % 40_001) - 20_000]) for i in range(120)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.exact_top_k(spark.createDataFrame(large, schema), F.col("vec_id") % 50 == 0).collect()}
+    level = {i: [int(256 * x) for x in v] for i, v in large}
+    for q in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(level[q], level[i])), i) for i in level if i != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
