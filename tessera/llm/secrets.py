@@ -17,14 +17,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ROW, keyed, materialise, text_or_empty
 
-# Kinds in report order, their patterns, the group that holds the value, and its least length.
+# Kinds in report order, their patterns, the group that holds the value, and its least length. Maximal runs
+# that are too short are no match of the second and third, which changes no other match.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]+", 0, 16),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 #: Kinds that the method adds.
 MORE_KINDS = [("random", r"[A-Za-z0-9+/_=-]{24,}", 0, 24)]
@@ -36,38 +38,52 @@ COPIED_REPOSITORIES, COPIED_OWNERS = 3, 3
 #: What takes a live-looking secret's place.
 PLACEHOLDER = "[SECRET]"
 
-_SPAN = "struct<kind:int,start:int,end:int,value:string>"
+#: Code points of a block in which ``redact`` replaces spans.
+BLOCK = 4096
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of one kind: the gaps between the matches and the matches themselves add up to positions."""
+def _pieces(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
+    """Matches of one kind in order: kind, length of the gap before, length, whether its value is kept, and the value's hash."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.arrays_zip(F.slice(F.split(text, pattern), 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        end = start + F.length(piece["whole"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), piece["value"].alias("value"))
-        keep = F.length(piece["value"]) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    return F.aggregate(pieces, start, step, lambda s: s["spans"])
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    gaps = F.slice(F.split(text, pattern), 1, F.size(whole))
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
+    keep = lambda v: (F.length(v) >= least) & (mixed(v) if kind >= len(KINDS) else F.lit(True))
+    return F.transform(
+        F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")),
+        lambda p: F.struct(
+            F.lit(kind).alias("kind"), F.length(p["gap"]).alias("gap"), F.length(p["whole"]).alias("length"),
+            F.when(keep(p["value"]), F.sha2(p["value"], 256)).alias("hash"),
+        ),
+    )
 
 
 def may_hold_spans(text: Column) -> Column:
     return text.rlike(ANY)
 
 
-def candidates(text: Column) -> Column:
-    """All candidate spans of a text by start, then kind; added kinds only where they overlap no span of the fixed kinds and mix digits, capitals and small letters."""
-    base = F.concat(*(_spans(text, i, pattern, group, least) for i, (_, pattern, group, least) in enumerate(KINDS)))
-    more = F.concat(*(_spans(text, len(KINDS) + i, pattern, group, least) for i, (_, pattern, group, least) in enumerate(MORE_KINDS)))
-    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
-    free = F.filter(more, lambda m: mixed(m["value"]) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    return F.when(may_hold_spans(text), F.array_sort(F.concat(base, free), order)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+def matches(text: Column) -> Column:
+    """All matches of a text, kind by kind; positions follow from sums of the lengths (see ``_spans``)."""
+    found = F.concat(*(_pieces(text, i, *k[1:]) for i, k in enumerate(KINDS + MORE_KINDS)))
+    return F.when(may_hold_spans(text), found).otherwise(F.array().cast("array<struct<kind:int,gap:int,length:int,hash:string>>"))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """Spans of ``rows`` (row, pieces, ...): kind, start, end, hash; added kinds only where they overlap none of the fixed ones.
+
+    Sums and bounds run in windows over a row's matches, so that the work grows with their number.
+    """
+    rest = [c for c in rows.columns if c != "pieces"]
+    each = rows.where(F.size("pieces") > 0).select(*rest, F.posexplode("pieces").alias("place", "p")).select(*rest, "place", "p.*")
+    before = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("gap") + F.col("length")).over(before), F.lit(0)) + F.col("gap")
+    spans = each.withColumn("start", start.cast("int")).withColumn("end", F.col("start") + F.col("length")).where("hash is not null")
+    fixed = F.col("kind") < len(KINDS)
+    so_far = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    # Of the fixed spans that begin no later, one reaches in; or the next one begins inside.
+    met = (F.max(F.when(fixed, F.col("end"))).over(so_far) > F.col("start")) | (F.min(F.when(fixed, F.col("start"))).over(later) < F.col("end"))
+    return spans.withColumn("met", met).where(fixed | ~F.coalesce("met", F.lit(False))).select(*rest, "kind", "start", "end", "hash")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -75,32 +91,35 @@ def ownership(found: DataFrame) -> DataFrame:
     return found.groupBy("hash").agg(F.count_distinct("repo").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
-    """Per row: doc_id and spans, an array of (kind, start, end, copied) without the values; each id is an owner, unless ``owner_col`` names one.
+def judged_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, pieces) of every row, and (row, doc_id, kind, start, end, copied) of every candidate span.
 
-    The texts are read once and leave the scan as spans with hashed values.
+    The texts are read once and leave the scan as lengths and hashes of matches.
     """
-    span = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"))
     rows = materialise(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.coalesce(F.col(repo_col), F.lit("")).alias("repo"),
             F.coalesce(F.col(owner_col or id_col).cast("string"), F.lit("")).alias("owner"),
-            F.transform(candidates(text_or_empty(text_col)), span).alias("found"),
+            matches(text_or_empty(text_col)).alias("pieces"),
         ).withColumn("row", F.monotonically_increasing_id()),
-        "candidates",
+        "matches",
     )
-    some = rows.where(F.size("found") > 0)
-    values = some.select("owner", "repo", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash"))
+    spans = materialise(_spans(rows), "spans")
     # Written out, so that the join has an exchange on either side and the partition of a very common value can be split.
-    owned = materialise(ownership(values), "ownership")
+    owned = materialise(ownership(spans), "ownership")
     copied = (F.col("repositories") >= COPIED_REPOSITORIES) & (F.col("owners") >= COPIED_OWNERS)
-    each = some.select("row", "doc_id", F.explode("found").alias("s")).select("row", "doc_id", "s.*")
-    judged = each.join(owned, "hash").select("row", "doc_id", F.struct("start", "kind", "end", copied.alias("copied")).alias("s"))
-    reported = F.filter(F.array_sort(F.collect_list("s")), lambda s: (s["kind"] < len(KINDS)) | ~s["copied"])
-    with_spans = judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), reported.alias("spans")).select("doc_id", "spans")
-    none = rows.where(F.size("found") == 0).select("doc_id", F.array().cast("array<struct<start:int,kind:int,end:int,copied:boolean>>").alias("spans"))
-    return with_spans.unionByName(none)
+    return rows.select("row", "doc_id", "pieces"), spans.join(owned, "hash").select("row", "doc_id", "kind", "start", "end", copied.alias("copied"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
+    """Per row: doc_id and spans, an array of (start, kind, end, copied) without the values; each id is an owner, unless ``owner_col`` names one."""
+    rows, judged = judged_spans(docs, id_col, text_col, repo_col, owner_col)
+    reported = judged.where((F.col("kind") < len(KINDS)) | ~F.col("copied"))
+    spans = reported.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "copied"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,copied:boolean>>").alias("spans")
+    some = rows.where(F.size("pieces") > 0).select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return some.unionByName(rows.where(F.size("pieces") == 0).select("doc_id", none))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -120,21 +139,39 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """Disjoint stretches (row, start, end) of spans that overlap."""
+    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    new = (F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(0))).cast("int")
+    numbered = spans.withColumn("new", new).withColumn("stretch", F.sum("new").over(upto))
+    return numbered.groupBy("row", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("stretch")
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source") -> DataFrame:
-    """All rows, in which live-looking secrets are replaced; only rows that may hold some take part in a join."""
-    maybe, live = "_tessera_maybe", "_tessera_live"
+    """All rows, in which live-looking secrets are replaced; only rows that may hold some take part in a join.
+
+    A text is cut into blocks, whose stretches are replaced apart: the work grows with the text, not with its square.
+    """
+    maybe, new = "_tessera_maybe", "_tessera_text"
     every = keyed(docs.withColumn(maybe, may_hold_spans(text_or_empty(text_col))))
     rows = every.where(F.col(maybe))
-    spans = scan(rows, ROW, text_col, repo_col, owner_col=id_col).select(F.col("doc_id").alias(ROW), F.filter("spans", lambda s: ~s["copied"]).alias(live)).where(F.size(live) > 0)
+    found = judged_spans(rows.withColumn("_owner", F.col(id_col)), ROW, text_col, repo_col, owner_col="_owner")[1].where(~F.col("copied"))
+    stretches = materialise(_merged(found.select(F.col("doc_id").alias("row"), "start", "end")), "stretches")
+    inside = stretches.withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(end - 1) div {BLOCK}"))))
+    low = F.col("block") * BLOCK
+    cut = F.struct(F.greatest(F.col("start") - low, F.lit(0)).alias("start"), F.least(F.col("end") - low, F.lit(BLOCK)).alias("end"), (F.col("start") >= low).alias("first"))
+    cuts = inside.groupBy("row", "block").agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
+    texts = rows.select(F.col(ROW).alias("row"), F.col(text_col).alias("text")).join(stretches.select("row").distinct(), "row", "left_semi")
+    blocks = texts.select("row", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("block", "part"))
 
     def step(state: Column, s: Column) -> Column:
-        before = F.substring(F.col(text_col), state["at"] + 1, s["start"] - state["at"])
-        new = F.struct(F.concat(state["out"], before, F.lit(PLACEHOLDER)).alias("out"), s["end"].alias("at"))
-        inside = F.struct(state["out"].alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= state["at"], new).otherwise(inside)
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    rest = lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(F.col(text_col))))
-    changed = rows.join(spans, ROW, "left")
-    changed = changed.withColumn(text_col, F.when(F.col(live).isNull(), F.col(text_col)).otherwise(F.aggregate(live, start, step, rest)))
+        kept = F.substring(F.col("part"), state["at"] + 1, (s["start"] - state["at"]).cast("int"))
+        return F.struct(F.concat(state["out"], kept, F.when(s["first"], PLACEHOLDER).otherwise("")).alias("out"), s["end"].cast("int").alias("at"))
+
+    end = lambda s: F.concat(s["out"], F.substring(F.col("part"), s["at"] + 1, F.lit(BLOCK)))
+    replaced = F.aggregate("cuts", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, end)
+    done = blocks.join(cuts, ["row", "block"], "left").select("row", F.struct("block", F.when(F.col("cuts").isNull(), F.col("part")).otherwise(replaced).alias("part")).alias("p"))
+    texts = done.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias(new)).withColumnRenamed("row", ROW)
+    changed = rows.join(texts, ROW, "left").withColumn(text_col, F.coalesce(new, text_col))
     return changed.select(*docs.columns).unionByName(every.where(~F.col(maybe)).select(*docs.columns))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -543,3 +544,29 @@ def test_vectors_too_long_for_exact_scores(spark):
     for q in (0, 50, 100):
         best = sorted((-sum(a * b for a, b in zip(level[q], level[i])), i) for i in level if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
+def test_secrets_across_blocks_and_in_great_numbers(spark, monkeypatch):
+    """Texts of many blocks and of many spans against a plain replacement; the time grows with the spans."""
+    monkeypatch.setattr(secrets, "BLOCK", 16)
+    live = "q8Zx81Lk20Vb77Yt55Nw{:04d}"
+    texts = ["é" * i + f' token = "{live.format(i)}" 😀 ' + f"token={live.format(i + 100)}" * 2 + "x" * (i % 40) for i in range(50)]
+    out = [r.text for r in secrets.redact(make(spark, texts)).orderBy("doc_id").collect()]
+
+    def plain(text):
+        pieces, at = [], 0
+        for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+            pieces += [text[at : m.start()], "[SECRET]"]
+            at = m.end()
+        return "".join([*pieces, text[at:]])
+
+    assert out == [plain(t) for t in texts]
+    monkeypatch.setattr(secrets, "BLOCK", 4096)
+    taken = []
+    for n in (20_000, 40_000):
+        many = make(spark, ["\n".join(f"token = {live.format(i)}{i}" for i in range(n))])
+        began = time.perf_counter()
+        assert secrets.redact(many).first().text == "\n".join(["[SECRET]"] * n)
+        assert secrets.digest(secrets.scan(many)).first().n_assign == n
+        taken.append(time.perf_counter() - began)
+    assert taken[1] < 2.5 * taken[0] + 2
