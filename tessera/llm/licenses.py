@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Well-known license notices, by SPDX identifier.
@@ -53,10 +54,42 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+        "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+        "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "GPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along "
+        "with this program. If not, see https://www.gnu.org/licenses/."
+    ),
+    "LGPL-2.1-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+        "FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
 }
 
 #: Words of a run, runs of a winnowing window, half width of the alignment band, and least share of a template's words.
 RUN, SPAN, BAND, COVERAGE = 3, 4, 8, 0.8
+#: Characters of all templates that are read from files.
+MOST_CHARS = 20_000_000
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -135,14 +168,15 @@ class Scanner:
                     hits[k].add((low + at - position, low + at))
         found = []
         for k, places in hits.items():
-            template, spans, tried = self.words[k], [], set()
+            # The template's matches, disjoint and in order: where they start and end.
+            template, starts, ends, tried = self.words[k], [], [], set()
             of_template = Counter(template)
             for shift, at in sorted(places):
                 # Until no match covers this hit: other notices in the band may be found first. A match never crosses another.
-                while not any(s <= at < e for s, e in spans):
-                    low = max((e for _, e in spans if e <= at), default=0)
-                    high = min((s for s, _ in spans if s > at), default=len(words))
-                    if (shift, low, high) in tried:
+                while True:
+                    i = bisect_right(starts, at)
+                    low, high = ends[i - 1] if i else 0, starts[i] if i < len(starts) else len(words)
+                    if at < low or (shift, low, high) in tried:
                         break
                     tried.add((shift, low, high))
                     centre = shift + BAND // 2
@@ -152,14 +186,26 @@ class Scanner:
                     pairs = align(words, template, centre, low, high)
                     if len(pairs) < self.needed[k]:
                         break
-                    spans.append((pairs[0][0], pairs[-1][0] + 1))
+                    i = bisect_right(starts, pairs[0][0])
+                    starts.insert(i, pairs[0][0])
+                    ends.insert(i, pairs[-1][0] + 1)
                     found.append((self.names[k], len(pairs) / len(template), len(pairs), where[pairs[0][0]][0], where[pairs[-1][0]][1]))
         found.sort(key=lambda m: (-m[2], m[3], m[0]))
         kept: list[tuple] = []
         for m in found:
-            if all(m[4] <= o[3] or o[4] <= m[3] for o in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: (m[3], m[0]))
+            i = bisect_right(kept, m[3], key=lambda o: o[3])
+            if (not i or kept[i - 1][4] <= m[3]) and (i == len(kept) or m[4] <= kept[i][3]):
+                kept.insert(i, m)
+        return kept
+
+
+def templates_of(spark: SparkSession, path: str) -> dict[str, str]:
+    """Texts of a folder as templates, named after their files; each index holds all of them, so they may be ``MOST_CHARS`` at most."""
+    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[a-z]+)?$", 1).alias("name"), "value")
+    size = texts.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0]
+    if size > MOST_CHARS:
+        raise ValueError(f"templates of {size} characters are too large for every task to hold")
+    return {r.name: r.value for r in texts.collect()}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:

@@ -570,3 +570,59 @@ def test_secrets_across_blocks_and_in_great_numbers(spark, monkeypatch):
         assert secrets.digest(secrets.scan(many)).first().n_assign == n
         taken.append(time.perf_counter() - began)
     assert taken[1] < 2.5 * taken[0] + 2
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_license_matches_equal_a_plain_alignment():
+    """Notices with words replaced, left out and put in: found where the longest common subsequence of all words reaches the coverage."""
+    rng = np.random.default_rng(9)
+    scanner, found, missed = licenses.Scanner(licenses.TEMPLATES), 0, 0
+    for turn in range(120):
+        name = list(licenses.TEMPLATES)[turn % len(licenses.TEMPLATES)]
+        template = licenses.words_of(licenses.TEMPLATES[name])
+        if len(template) < 15:
+            continue
+        body = list(template)
+        for _ in range(int(rng.integers(0, 1 + len(template) // 3))):
+            at, kind = int(rng.integers(0, len(body))), int(rng.integers(0, 3))
+            body[at : at + (kind < 2)] = [] if kind == 0 else [f"zz{rng.integers(99)}"]
+        text = [f"qq{i}" for i in range(30)] + body + [f"rr{i}" for i in range(30)]
+        best = {k: plain_lcs(text, licenses.words_of(t)) for k, t in licenses.TEMPLATES.items()}
+        reaching = [k for k, n in best.items() if n >= scanner.needed[scanner.names.index(k)]]
+        got = scanner.matches(" ".join(text))
+        if name in reaching:
+            assert [(m[0], m[2]) for m in got if m[0] == name] == [(name, best[name])] or abs(len(body) - len(template)) > licenses.BAND // 2
+            found += 1
+        else:
+            assert all(m[0] in reaching for m in got)
+            missed += 1
+    assert found > 20 and missed >= 5
+
+
+def test_license_time_grows_with_the_notices():
+    line, taken = "MIT-line", []
+    for n in (4000, 8000):
+        began = time.perf_counter()
+        assert len(licenses.Scanner(licenses.TEMPLATES).matches(" then ".join([licenses.TEMPLATES[line]] * n))) == n
+        taken.append(time.perf_counter() - began)
+    assert taken[1] < 2.5 * taken[0] + 0.5
+
+
+def test_license_templates_of_a_folder(spark, tmp_path, monkeypatch):
+    (tmp_path / "X-1.0.txt").write_text("You may copy this short text as you like, whenever you like.")
+    (tmp_path / "Y").write_text("Nobody may copy that other text without asking its author first.")
+    chosen = licenses.templates_of(spark, str(tmp_path))
+    assert set(chosen) == {"X-1.0", "Y"}
+    found = licenses.scan(make(spark, ["é you may copy this short text as you like whenever you like", "none"]), chosen).collect()
+    assert [(r.doc_id, r.template, r.coverage) for r in found] == [(0, "X-1.0", 1.0)]
+    monkeypatch.setattr(licenses, "MOST_CHARS", 10)
+    with pytest.raises(ValueError, match="too large"):
+        licenses.templates_of(spark, str(tmp_path))
