@@ -13,7 +13,7 @@ from ..operators import exchange as X
 from ..operators import grid as G
 from ..operators import impact, lineage, solver
 from ..operators import pairs as P
-from ..sources import sinks, states, tables
+from ..sources import sinks, states, tables, topology
 from ..streaming import live
 from .registry import BODY, bodies, query, table
 from .space_queries import _OVERLAP, _PAIRS, CELLS, LOW, WIDTH
@@ -95,30 +95,64 @@ def metrics_line(spark, sf):
     return sinks.metrics(P.overlaps(bodies(spark, sf))).select("contacts", F.round("max_overlap", 6).alias("max_overlap"))
 
 
-@query("SELECT n_nationkey AS id, 'Grid' AS kind, CAST(n_nationkey AS DOUBLE) / 2 AS time, CAST(n_regionkey AS BIGINT) AS rank, CAST(n_nationkey AS DOUBLE) AS high, CAST(2 AS INTEGER) AS distances, CAST(n_regionkey AS DOUBLE) AS mean FROM nation")
+_HEAD = """'<Topology type="', {kind}, '" buildMode="auto" time="', n_nationkey / 2, '"><Description><Run>r', n_nationkey, '</Run><Note/></Description>'"""
+_EYE = "1 0 0\\n0 0 -1\\n0 1 0"
+
+
+@query(
+    """
+SELECT n_nationkey AS id, 'Grid' AS kind, 'auto' AS build_mode, CAST(n_nationkey AS DOUBLE) / 2 AS time, concat('r', n_nationkey) AS run, CAST(n_regionkey AS BIGINT) AS rank,
+       CAST(n_nationkey AS DOUBLE) AS high, CAST(2 AS INTEGER) AS boxes, CAST(1 + n_regionkey AS INTEGER) AS points, CAST(5 AS DOUBLE) AS y,
+       CAST(3.5 AS DOUBLE) AS distances, CAST(n_regionkey AS DOUBLE) AS mean, CAST(0.5 AS DOUBLE) AS deviation
+FROM nation
+"""
+)
 def topology_parse(spark, sf):
-    xml = F.expr(
-        """concat('<T type="Grid" buildMode="x" time="', n_nationkey / 2, '"><AABBList><AABB rank="', n_regionkey, '" minPoint="0 0 0" maxPoint="1 ', n_nationkey,
- ' 1"/></AABBList><Points>1 2 3 # three\n4 5 6</Points><NearestDistanceHistogram mean="', n_regionkey, '" stdDeviation="1">1 2.5</NearestDistanceHistogram></T>')"""
+    """Documents of several lines, with comments, of a box list, points and distances each."""
+    doc = f"""concat({_HEAD.format(kind="'Grid'")}, '<AABBList># rank, box\\n', n_regionkey, ' 0 0 0 1 ', n_nationkey, ' 1\\n\\n7 0 0 0 1 1 1 # last\\n</AABBList><Points>4 5 6',
+      repeat('\\n1 2 3', n_regionkey), '</Points><NearestDistanceHistogram mean="', n_regionkey, '" stdDeviation="0.5">1 2.5</NearestDistanceHistogram></Topology>')"""
+    t = topology.topology(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.expr(doc).alias("xml")))
+    return t.select(
+        "id", "kind", "build_mode", "time", F.col("description")["Run"].alias("run"), F.col("boxes")[0]["rank"].alias("rank"), F.col("boxes")[0]["max"][1].alias("high"), F.size("boxes").alias("boxes"),
+        F.size("points").alias("points"), F.col("points")[0][1].alias("y"), F.aggregate("distances", F.lit(0.0), lambda a, x: a + x).alias("distances"), "mean", F.col("std_deviation").alias("deviation"),
     )
-    t = tables.topology(table(spark, sf, "nation").select("n_nationkey", xml.alias("xml")).select("xml"))
-    out = t.select((F.col("time") * 2).cast("int").alias("id"), "kind", "time", F.col("boxes")[0]["rank"].alias("rank"), F.col("boxes")[0]["max"][1].alias("high"), F.size("distances").alias("distances"), "mean")
-    return out
 
 
-@query("SELECT CAST(n_nationkey AS DOUBLE) / 2 AS middle, CAST(n_regionkey + 1 AS INTEGER) AS cells, true AS aligned, 1.0::DOUBLE AS w FROM nation")
+@query(
+    """
+SELECT n_nationkey AS id, CAST(n_nationkey AS DOUBLE) / 2 AS middle, CAST(n_regionkey + 1 AS INTEGER) AS cells, n_regionkey % 2 = 0 AS aligned,
+       round(sqrt(0.5::DOUBLE), 6) AS w, round(sqrt(0.5::DOUBLE), 6) AS x FROM nation
+"""
+)
 def grid_topology_parse(spark, sf):
-    xml = F.expr("""concat('<T type="Grid"><Grid dimension="2 ', n_regionkey + 1, ' 1" minPoint="0 0 0" maxPoint="', n_nationkey, ' 4 6" A_IK="1 0 0 0 1 0 0 0 1" aligned="true"/></T>')""")
-    g = tables.grid_topology(table(spark, sf, "nation").select(xml.alias("xml")))
-    return g.select(F.col("center")[0].alias("middle"), F.col("dimension")[1].alias("cells"), "aligned", F.col("rotation")[3].alias("w"))
+    """Grids turned by a quarter about x."""
+    doc = f"""concat({_HEAD.format(kind="'Grid'")}, '<Grid aligned="', if(n_regionkey % 2 = 0, if(n_regionkey = 0, 'true', 'True'), 'false'), '"><Dimension>2 ', n_regionkey + 1, ' 1</Dimension>',
+      '<MinPoint>0 0 0</MinPoint><MaxPoint>', n_nationkey, ' 4 6</MaxPoint><A_IK>{_EYE}</A_IK></Grid></Topology>')"""
+    g = topology.grid_topology(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.expr(doc).alias("xml")))
+    return g.select("id", F.col("center")[0].alias("middle"), F.col("dimension")[1].alias("cells"), "aligned", F.round(F.col("rotation")[3], 6).alias("w"), F.round(F.col("rotation")[0], 6).alias("x"))
 
 
-@query("SELECT CAST(n_regionkey AS INTEGER) AS level, CAST(count(*) AS INTEGER) AS leaves, CAST(min(n_nationkey) AS INTEGER) AS first, CAST(max(n_nationkey) AS DOUBLE) AS high FROM nation GROUP BY n_regionkey")
+@query(
+    """
+SELECT n_regionkey AS region, CAST(l AS INTEGER) AS level, CAST(count(*) AS INTEGER) AS leaves, CAST(min(n_nationkey) AS INTEGER) AS first, CAST(max(n_nationkey) AS DOUBLE) AS high,
+       CAST(sum(CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS points, CAST(l + 1 AS INTEGER) AS boxes
+FROM (SELECT *, n_nationkey % 3 AS l FROM nation) GROUP BY n_regionkey, l
+"""
+)
 def tree_topology_parse(spark, sf):
-    """One tree whose leaves stand on the level of their region."""
-    leaf = F.expr("""concat('<Leaf level="', n_regionkey, '" idx="', n_nationkey, '"><AABB minPoint="0 0 0" maxPoint="', n_nationkey, ' 1 1"/></Leaf>')""")
-    doc = table(spark, sf, "nation").agg(F.concat(F.lit('<T type="KdTree"><KdTree><AABB minPoint="0 0 0" maxPoint="9 9 9"/><Leafs>'), F.array_join(F.collect_list(leaf), ""), F.lit("</Leafs></KdTree></T>")).alias("xml"))
-    return tables.tree_topology(doc).select("level", F.size("leaves").alias("leaves"), F.col("leaves")[0]["idx"].alias("first"), F.array_max(F.transform("leaves", lambda x: x["max"][0])).alias("high"))
+    """A tree for each region, with its nations as leaves on three levels; every other leaf has points."""
+    leaf = F.expr("""concat('<Leaf level="', n_nationkey % 3, '" idx="', n_nationkey, '"><AABB>0 0 0 ', n_nationkey, ' 1 1</AABB>', if(n_nationkey % 2 = 0, '<Points>1 2 3\\n4 5 6</Points>', ''), '</Leaf>')""")
+    tree = F.concat(
+        F.lit(f'<Topology type="KdTree" buildMode="auto" time="1"><Description/><KdTree aligned="true"><Root><AABB>0 0 0 9 9 9</AABB></Root><A_IK>{_EYE}</A_IK><Leafs>'.replace("\\n", "\n")),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", leaf.alias("leaf")))), lambda x: x["leaf"]), ""),
+        F.lit("</Leafs><AABBTree>"), *(F.lit(f'<AABBSubTree level="{i}">' + "\n".join(["0 0 0 1 1 1"] * (i + 1)) + "</AABBSubTree>") for i in range(3)), F.lit("</AABBTree></KdTree></Topology>"),
+    )
+    trees = topology.tree_topology(table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(tree.alias("xml")))
+    boxes = trees.select("region", F.explode("subtrees").alias("level", "boxes")).select("region", "level", F.size("boxes").alias("boxes"))
+    return topology.leaves_by_level(trees, "region").join(boxes, ["region", "level"]).select(
+        "region", "level", F.size("leaves").alias("leaves"), F.col("leaves")[0]["idx"].alias("first"), F.array_max(F.transform("leaves", lambda x: x["max"][0])).alias("high"),
+        F.aggregate(F.transform("leaves", lambda x: F.when(x["points"].isNotNull(), F.size(x["points"])).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x).alias("points"), "boxes",
+    )
 
 
 @query(f"WITH {BODY} SELECT id, x AS px, y AS py, round(sqrt(0.5::DOUBLE), 6) AS qz FROM body")

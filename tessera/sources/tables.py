@@ -1,4 +1,4 @@
-"""Parsers of side files: performance tables, topologies, meshes, transform sequences, scenes and job settings."""
+"""Parsers of side files: performance tables, meshes, transform sequences, scenes and job settings."""
 
 from __future__ import annotations
 
@@ -39,53 +39,6 @@ def performance_xml(texts: DataFrame, text_col: str = "xml") -> DataFrame:
     )
 
 
-def numbers(text: Column) -> Column:
-    """Doubles of a white-space separated text; '#' starts a comment; null gives none."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"#[^\n]*", "")
-    return F.transform(tokens(clean), lambda t: t.cast("double"))
-
-
-def topology(texts: DataFrame, text_col: str = "xml") -> DataFrame:
-    """kind, build_mode, time, boxes (rank, min, max), points, and nearest distances with mean and deviation; an unknown kind fails the job.
-
-    Unused parts cost nothing: they are columns that Catalyst prunes.
-    """
-    x = F.col(text_col)
-    one = lambda p: F.xpath_string(x, F.lit(p))
-    many = lambda p: F.xpath(x, F.lit(p))
-    kind = one("/*/@type")
-    boxes = F.zip_with(
-        F.arrays_zip(many("//AABBList/AABB/@rank").alias("rank"), many("//AABBList/AABB/@minPoint").alias("low")), many("//AABBList/AABB/@maxPoint"),
-        lambda a, high: F.struct(a["rank"].cast("long").alias("rank"), numbers(a["low"]).alias("min"), numbers(high).alias("max")),
-    )
-    return texts.select(
-        F.when(kind.isin("Grid", "KdTree"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown topology "), kind))).alias("kind"),
-        one("/*/@buildMode").alias("build_mode"), one("/*/@time").try_cast("double").alias("time"),
-        boxes.alias("boxes"), numbers(one("//Points")).alias("points"),
-        numbers(one("//NearestDistanceHistogram")).alias("distances"),
-        one("//NearestDistanceHistogram/@mean").try_cast("double").alias("mean"), one("//NearestDistanceHistogram/@stdDeviation").try_cast("double").alias("std_deviation"),
-    )
-
-
-def grid_topology(texts: DataFrame, text_col: str = "xml") -> DataFrame:
-    """aligned, dimension, min, max, center, and the quaternion of the grid's rotation."""
-    one = lambda p: F.xpath_string(F.col(text_col), F.lit(p))
-    low, high, flat = numbers(one("//Grid/@minPoint")), numbers(one("//Grid/@maxPoint")), numbers(one("//Grid/@A_IK"))
-    out = texts.select(one("//Grid/@aligned").isin("true", "1").alias("aligned"), F.transform(numbers(one("//Grid/@dimension")), lambda d: d.cast("int")).alias("dimension"), low.alias("min"), high.alias("max"), flat.alias("_a"))
-    matrix = F.array(*(F.slice("_a", 3 * i + 1, 3) for i in range(3)))
-    return out.withColumns({"center": F.zip_with("min", "max", lambda a, b: (a + b) / 2), "rotation": V.quaternion_of(matrix)}).drop("_a")
-
-
-def tree_topology(texts: DataFrame, text_col: str = "xml") -> DataFrame:
-    """level and its leaves (idx, min, max) of kd-tree documents; one without a root box fails the job."""
-    many = lambda p: F.xpath(F.col(text_col), F.lit(p))
-    root = F.xpath_string(F.col(text_col), F.lit("//KdTree/AABB/@minPoint"))
-    leaves = F.arrays_zip(*(many(f"//Leafs/Leaf/{p}").alias(n) for n, p in (("level", "@level"), ("idx", "@idx"), ("low", "AABB/@minPoint"), ("high", "AABB/@maxPoint"))))
-    one = texts.select(F.explode(F.when(root != "", leaves).otherwise(F.raise_error(F.lit("the tree has no root box")))).alias("leaf"))
-    rows = one.select(F.col("leaf.level").cast("int").alias("level"), F.struct(F.col("leaf.idx").cast("int").alias("idx"), numbers(F.col("leaf.low")).alias("min"), numbers(F.col("leaf.high")).alias("max")).alias("leaf"))
-    return rows.groupBy("level").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
-
-
 def mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Vertices, texture coordinates, normals and faces of OBJ files; faces that haven't four corners are left out, indices count from 0.
 

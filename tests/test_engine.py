@@ -131,15 +131,6 @@ def test_side_files(spark, tmp_path):
     doc = "<P><Description><a>1</a></Description><DataTable><Header><Column>n procs [1]</Column><Column>t</Column></Header><Data># c\n1\t2.5\n2\t3\n</Data></DataTable></P>"
     found = tables.performance_xml(spark.createDataFrame([(doc,)], "xml string")).first()
     assert found["names"] == ["n procs", "t"] and found["data"] == [[1, 2.5], [2, 3]] and found["description"] == {"a": "1"}
-    topo = '<T type="Grid" buildMode="x" time="1.5"><Grid dimension="2 2 1" minPoint="0 0 0" maxPoint="2 4 6" A_IK="1 0 0 0 1 0 0 0 1" aligned="true"/><AABBList><AABB rank="3" minPoint="0 0 0" maxPoint="1 1 1"/></AABBList><NearestDistanceHistogram mean="2" stdDeviation="1">1 2 3</NearestDistanceHistogram></T>'
-    t = spark.createDataFrame([(topo,)], "xml string")
-    row = tables.topology(t).first()
-    assert (row["time"], row["boxes"][0]["max"], row["distances"], row["mean"]) == (1.5, [1, 1, 1], [1, 2, 3], 2)
-    assert tables.grid_topology(t).first()["center"] == [1, 2, 3]
-    tree = '<T type="KdTree"><KdTree><AABB minPoint="0 0 0" maxPoint="1 1 1"/><Leafs><Leaf level="1" idx="0"><AABB minPoint="0 0 0" maxPoint="1 1 1"/></Leaf></Leafs></KdTree></T>'
-    assert tables.tree_topology(spark.createDataFrame([(tree,)], "xml string")).first()["leaves"][0]["max"] == [1, 1, 1]
-    with pytest.raises(Exception, match="unknown topology"):
-        tables.topology(spark.createDataFrame([('<T type="Ring"/>',)], "xml string")).select("kind").collect()
     assert tables.job("[Cluster]\njobName = a\nnProcesses = 4\n").processes == 4
     (tmp_path / "o").write_text("--fourth 4 --fifth 5\n")
     assert tables.options(["--first", "1", f"@{tmp_path}/o", "--sixth", "6"]) == {"first": "1", "fourth": "4", "fifth": "5", "sixth": "6"}
