@@ -16,9 +16,23 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or f"file:///tmp/checkpoints/{os.getpid()}").rstrip("/")
 
 
+#: Paths that ``scratch`` gave out and nobody has released.
+GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it stays until ``release``."""
+    GIVEN.append(f"{shared_folder(spark)}/tessera-{label}-{uuid.uuid4().hex}")
+    return GIVEN[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what was written to all paths given out so far. Call it when the results that read them have been used."""
+    n = len(GIVEN)
+    while GIVEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(GIVEN.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +11,7 @@ from ..operators import exchange as X
 from ..operators import grid as G
 from ..operators import impact, lineage, solver
 from ..operators import pairs as P
-from ..sources import sinks, states, tables, topology
+from ..sources import binary, sinks, states, tables, topology
 from ..streaming import live
 from .registry import BODY, bodies, query, table
 from .space_queries import _OVERLAP, _PAIRS, CELLS, LOW, WIDTH
@@ -50,25 +48,51 @@ def state_catalog(spark, sf):
     return files.groupBy(F.regexp_extract("path", "sim_id=([^/]*)", 1).alias("sim_id")).agg((F.sum("length") > 0).alias("filled"))
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS state_nr, CAST(n_regionkey AS DOUBLE) / 2 AS t, CAST(n_nationkey AS BIGINT) AS body_id, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey AS DOUBLE) AS w FROM nation WHERE n_nationkey < 25", "ours")
+_STATES = "SELECT CAST(s AS BIGINT) AS state_nr, CAST(s AS DOUBLE) / 2 AS t, CAST(p_partkey AS BIGINT) AS body_id, CAST(p_size AS DOUBLE) AS x, CAST(s AS DOUBLE) * p_partkey AS w FROM part, range(0, 5) AS r(s)"
+
+
+def _part_states(spark, sf):
+    """All parts as bodies in five states."""
+    rows = table(spark, sf, "part").withColumn("state_nr", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    zeros = lambda n: [F.lit(0.0)] * n
+    return rows.select(
+        F.lit("parts").alias("sim_id"), "state_nr", (F.col("state_nr") / 2).alias("t"), F.col("p_partkey").alias("body_id"),
+        F.array(F.col("p_size").cast("double"), *zeros(6)).alias("q"), F.array(*zeros(5), (F.col("state_nr") * F.col("p_partkey")).cast("double")).alias("u"),
+    )
+
+
+@query(_STATES, "ours")
 def state_binary(spark, sf):
-    """The exchange format: the nations of each region as the bodies of a state (five a state)."""
-    rows = table(spark, sf, "nation").where("n_nationkey < 25").orderBy("n_regionkey", "n_nationkey").collect()  # 25 rows, whatever the scale
-    found: dict[int, list] = {}
-    for r in rows:
-        found.setdefault(r.n_regionkey, []).append((r.n_nationkey, [float(r.n_nationkey)] + [0.0] * 6, [0.0] * 5 + [float(r.n_regionkey)]))
+    """Binary state files: written by the tasks, read by ranges inside the files."""
     path = lineage.scratch(spark, "binary")
-    sinks.raw(spark, f"{path}/a.sim", states.to_binary([(k / 2, v) for k, v in sorted(found.items())]))
-    read = states.read_binary(spark, path)
+    binary.write_states(_part_states(spark, sf), path)
+    return binary.read_states(spark, path, partitionBytes=1 << 20).select("state_nr", "t", "body_id", F.col("q")[0].alias("x"), F.col("u")[5].alias("w"))
+
+
+@query(f"SELECT * FROM ({_STATES}) WHERE state_nr BETWEEN 1 AND 3 AND body_id < 1000", "ours")
+def state_binary_range(spark, sf):
+    """States by number, found by bisection in the files."""
+    path = lineage.scratch(spark, "binary")
+    binary.write_states(_part_states(spark, sf), path)
+    read = binary.read_states(spark, path, fromState=1, toState=3, nq=7, nu=6).where("body_id < 1000")
     return read.select("state_nr", "t", "body_id", F.col("q")[0].alias("x"), F.col("u")[5].alias("w"))
 
 
-@query("SELECT CAST(r_regionkey AS DOUBLE) AS corner, CAST(r_regionkey AS DOUBLE) * 10 AS below, CAST(r_regionkey AS DOUBLE) + 3 AS last FROM region", "ours")
+@query(f"SELECT * FROM ({_STATES})", "ours")
+def state_files(spark, sf):
+    """One series from several stores: even and odd states apart."""
+    rows, paths = _part_states(spark, sf), [lineage.scratch(spark, "store") for _ in range(2)]
+    for k, path in enumerate(paths):
+        states.write(rows.where(F.col("state_nr") % 2 == k), path)
+    return states.read(spark, *paths).select("state_nr", "t", "body_id", F.col("q")[0].alias("x"), F.col("u")[5].alias("w"))
+
+
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS corner, CAST(o_custkey AS DOUBLE) AS below, CAST(o_orderkey + o_custkey AS DOUBLE) AS last FROM orders", "ours")
 def matrix_binary(spark, sf):
-    """Matrices of two rows and three columns, by column."""
-    keys = sorted(r[0] for r in table(spark, sf, "region").select("r_regionkey").collect())  # five
+    """Matrices of two rows and three columns, by column, one for each order."""
     path = lineage.scratch(spark, "matrices")
-    sinks.raw(spark, f"{path}/m.bin", b"".join(struct.pack("<6d", k, k * 10, 1, 2, 9, k + 3) for k in keys))
+    flat = F.array(*(c.cast("double") for c in (F.col("o_orderkey"), F.col("o_custkey"), F.lit(1), F.lit(2), F.lit(9), F.col("o_orderkey") + F.col("o_custkey"))))
+    binary.write_records(table(spark, sf, "orders").select(flat.alias("m")), path, "m:f8[6]")
     m = states.read_matrices(spark, path, 2, 3)
     return m.select(F.col("matrix")[0][0].alias("corner"), F.col("matrix")[1][0].alias("below"), F.col("matrix")[1][2].alias("last"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import binary
+
 
 def schema(nq: int = 7, nu: int = 6) -> T.StructType:
     """Rows of a store whose states have ``nq`` positions and ``nu`` velocities a body."""
@@ -33,7 +36,9 @@ def write(states: DataFrame, path: str, mode: str = "errorifexists", nq: int = 7
 
 
 def read(spark: SparkSession, *paths: str, nq: int = 7, nu: int = 6) -> DataFrame:
-    return checked(spark.read.schema(schema(nq, nu)).parquet(*paths), nq, nu)
+    """States of all stores; each is partitioned by itself, so they are read apart."""
+    stores = [spark.read.schema(schema(nq, nu)).parquet(p) for p in paths]
+    return checked(functools.reduce(DataFrame.unionByName, stores), nq, nu)
 
 
 def append(states: DataFrame, path: str, nq: int = 7, nu: int = 6) -> bool:
@@ -86,20 +91,9 @@ def read_binary(spark: SparkSession, path: str, nq: int = 7, nu: int = 6) -> Dat
 
 
 def read_matrices(spark: SparkSession, path: str, rows: int, columns: int) -> DataFrame:
-    """file, matrix: contiguous little-endian doubles by column, as many matrices a file as fit."""
-    size = 8 * rows * columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = raw.as_py()
-                found = []
-                for at in range(0, len(data) - size + 1, size):
-                    flat = struct.unpack_from(f"<{rows * columns}d", data, at)
-                    found.append([[flat[j * rows + i] for j in range(columns)] for i in range(rows)])
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["file", "matrix"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, matrix array<array<double>>")
+    """file, matrix: contiguous little-endian doubles by column; a file that ends inside a matrix fails the job."""
+    found = binary.read_records(spark, path, f"m:f8[{rows * columns}]")
+    return found.select("file", F.array(*(F.array(*(F.col("m")[j * rows + i] for j in range(columns))) for i in range(rows))).alias("matrix"))
 
 
 def catalog(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
