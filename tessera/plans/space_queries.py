@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import grid as G
 from ..operators import pairs as P
-from ..operators import solver
+from ..operators import kdtree, lineage, solver
 from .registry import BODY, bodies, query, table
 
 _PAIRS = f"""{BODY}, contact AS (
@@ -159,8 +159,33 @@ SELECT CAST(k3 AS INTEGER) AS leaf, count(*) AS bodies, min(x) AS min_x, max(x)
 )
 def kd_tree_leaves(spark, sf):
     b = bodies(spark, sf)
-    leaves = G.kd_tree(b, 3, None)
-    return G.assign_leaf(b, leaves).groupBy("leaf").agg(F.count(F.lit(1)).alias("bodies"), F.min("x").alias("min_x"), F.max("x").alias("max_x"))
+    placed = kdtree.descend(b, kdtree.pack(kdtree.build(b, 3)), 3)
+    return placed.groupBy(F.col("leaf").cast("int").alias("leaf")).agg(F.count(F.lit(1)).alias("bodies"), F.min("x").alias("min_x"), F.max("x").alias("max_x"))
+
+
+DEEP = 12
+_DEEP_SQL = f"WITH {BODY}, l0 AS (SELECT *, 0 AS k0 FROM body)" + "".join(
+    f""", l{i + 1} AS (SELECT l{i}.id, l{i}.x, l{i}.y, l{i}.z, 2 * k{i} + CASE WHEN {"xyz"[i % 3]} < m THEN 0 ELSE 1 END AS k{i + 1}
+  FROM l{i} JOIN (SELECT k{i} AS k, quantile_cont({"xyz"[i % 3]}, 0.5) AS m FROM l{i} GROUP BY k{i}) AS m{i} ON k = k{i})"""
+    for i in range(DEEP)
+)
+
+
+@query(_DEEP_SQL + f" SELECT id, CAST(k{DEEP} AS BIGINT) AS leaf FROM l{DEEP}", "ours")
+def kd_tree_deep(spark, sf):
+    """The leaf of each body after twelve levels, by way of the packed tree's table."""
+    b, path = bodies(spark, sf).select("id", "x", "y", "z"), lineage.scratch(spark, "tree")
+    kdtree.pack(kdtree.build(b, DEEP)).write.parquet(path)
+    return kdtree.descend(b, spark.read.parquet(path), DEEP).select("id", "leaf")
+
+
+@query(_DEEP_SQL.split(", l4 AS")[0] + " SELECT CAST(8 + k3 AS BIGINT) AS node, count(*) AS points, round(min(x), 6) AS first FROM l3 GROUP BY k3", "ours")
+def kd_tree_nodes(spark, sf):
+    """Nodes of the last level with their points, from the tree's table, and the least x below each."""
+    b = bodies(spark, sf)
+    nodes = kdtree.build(b, 3)
+    least = kdtree.descend(b, kdtree.pack(nodes), 3).groupBy((F.col("leaf") + 8).alias("node")).agg(F.round(F.min("x"), 6).alias("first"))
+    return nodes.where("level = 3 AND points > 0").select("node", "points").join(least, "node")
 
 
 # Edges along x, across x and y, and along z: the box is the smaller one of the upright and the turned one.
