@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import selection
+from ..operators import aggregates, selection
 from .registry import query, table
 
 
@@ -62,6 +62,22 @@ def x_reductions(spark, sf):
     )
 
 
+@query(
+    """WITH h AS (SELECT DISTINCT l_returnflag, CAST('0x' || substr(md5(CAST(l_partkey AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM lineitem),
+k AS (SELECT l_returnflag, h, row_number() OVER (PARTITION BY l_returnflag ORDER BY h) AS n, count(*) OVER (PARTITION BY l_returnflag) AS m FROM h),
+d AS (SELECT l_returnflag, CASE WHEN max(m) < 256 THEN max(m) ELSE 255 / (max(h) FILTER (n = 256) / CAST(1::BIGINT << 60 AS DOUBLE)) END AS parts FROM k GROUP BY l_returnflag),
+s AS (SELECT l_returnflag, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS price FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, round(price, 2) AS price, round(parts, 6) AS parts FROM s JOIN d USING (l_returnflag)""",
+    "extension",
+)
+def x_user_aggregates(spark, sf):
+    """Aggregates by name: an exact sum of doubles, and a mergeable sketch of distinct parts."""
+    rows = table(spark, sf, "lineitem").withColumn("h", F.conv(F.substring(F.md5(F.col("l_partkey").cast("string")), 1, 15), 16, 10).cast("long"))
+    uses = {"price": aggregates.Use("exact_sum", ("l_extendedprice",)), "parts": aggregates.Use("distinct_sketch", ("h",))}
+    found = aggregates.aggregate(rows, ["l_returnflag"], uses)
+    return found.select("l_returnflag", F.round("price", 2).alias("price"), F.round("parts", 6).alias("parts"))
+
+
 @F.udtf(returnType="place int, word string")
 class Words:
     """The words of a text with their places."""

@@ -416,6 +416,43 @@ def event_window_sliding(spark, sf):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
+# Most events arrive in the batch of their five days, every tenth one later, every fiftieth three later.
+_ARRIVALS = """e AS (SELECT *, (day(ts) - 1) // 5 + CASE WHEN event_id % 50 = 7 THEN 3 WHEN event_id % 10 = 3 THEN 1 ELSE 0 END AS b FROM events),
+wm AS (SELECT b, max(max(ts)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS w FROM e GROUP BY b),
+fin AS (SELECT max(ts) - INTERVAL 2 DAY AS w FROM e),
+s AS (SELECT e.*, date_trunc('day', ts) AS day, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= wm.w, false) AS late, date_trunc('day', ts) + INTERVAL 1 DAY <= fin.w AS closed FROM e JOIN wm USING (b), fin)"""
+
+
+def _arriving(spark, sf):
+    delay = F.when(F.col("event_id") % 50 == 7, 3).when(F.col("event_id") % 10 == 3, 1).otherwise(0)
+    return table(spark, sf, "events").withColumn("b", F.floor((F.dayofmonth("ts") - 1) / 5) + delay)
+
+
+def _played_out(rows, out, transform):
+    live.play(rows, "b", f"{out}-arrived", lambda stream: transform(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").outputMode("append"))
+    return rows.sparkSession.read.parquet(out)
+
+
+@query(f"WITH {_ARRIVALS} SELECT day AS start, count(*) AS n, round(sum(value), 4) AS total FROM s WHERE closed AND NOT late GROUP BY day", "extension")
+def stream_windows_late(spark, sf):
+    """Daily windows of a stream out of order: rows behind the watermark are dropped, windows that it hasn't reached stay open."""
+    out = lineage.scratch(spark, "windows")
+    found = _played_out(_arriving(spark, sf), out, lambda s: live.windows(s, "ts", "1 day", late="2 days"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    f"""WITH {_ARRIVALS} SELECT user_id % 8 AS users, 'window' AS kind, day AS start, count(*) AS n, round(sum(value), 4) AS total FROM s WHERE closed AND NOT late GROUP BY user_id % 8, day
+UNION ALL SELECT user_id % 8, 'late', ts, 1, round(value, 4) FROM s WHERE late""", "extension"
+)
+def stream_late_rows(spark, sf):
+    """The same by eighths of the users, with timers of one's own: late rows are handed on, not dropped."""
+    out = lineage.scratch(spark, "late")
+    rows = _arriving(spark, sf).withColumn("users", F.col("user_id") % 8)
+    found = _played_out(rows, out, lambda s: live.windows_with_late_rows(s, "ts", "value", "users", 86_400_000_000, "2 days"))
+    return found.select(F.col("key").alias("users"), "kind", F.timestamp_micros("t").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
 def _impacts(spark, sf):
     b = bodies(spark, sf)
     contacts = P.contact_frames(P.overlaps(b).select("id1", "id2"), b).withColumns({"mu": F.lit(0.3), "restitution": F.lit(0.5)})

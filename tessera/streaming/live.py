@@ -53,3 +53,82 @@ def windows(events: DataFrame, time: str, length: str, slide: str | None = None,
 def sessions(events: DataFrame, time: str, gap: str, key: str, late: str = "10 minutes") -> DataFrame:
     rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     return rows.groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The state store that timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _windowed(width: int):
+    """A processor of rows (t in microseconds, value) of a key: sums by window of ``width``, and late rows as they come."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Windowed(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.open = handle, handle.getMapState("open", "start long", "n long, total double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            watermark = timerValues.getCurrentWatermarkInMs() * 1000
+            late, sums = [], {}
+            for batch in rows:
+                start = batch["t"].to_numpy() // width * width
+                behind = start + width <= watermark
+                late.append(batch[behind])
+                for s, own in batch[~behind].groupby(start[~behind])["value"]:
+                    n, total = sums.get(s, (0, 0.0))
+                    sums[s] = (n + len(own), total + float(own.sum()))
+            for s, (n, total) in sums.items():
+                at = (int(s),)
+                if self.open.containsKey(at):
+                    old = self.open.getValue(at)
+                    n, total = n + old[0], total + old[1]
+                else:
+                    self.handle.registerTimer((int(s) + width) // 1000)
+                self.open.updateValue(at, (n, total))
+            found = pd.concat(late) if late else pd.DataFrame({"t": [], "value": []})
+            yield _rows(key, "late", found["t"], 1, found["value"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 - width,)
+            n, total = self.open.getValue(at)
+            self.open.removeKey(at)
+            yield _rows(key, "window", [at[0]], n, [total])
+
+        def close(self) -> None:
+            pass
+
+    def _rows(key, kind, t, n, total) -> pd.DataFrame:
+        return pd.DataFrame({"key": key[0], "kind": kind, "t": np.asarray(t, "int64"), "n": np.full(len(t), n, "int64"), "total": np.asarray(total, float)})
+
+    return Windowed()
+
+
+def windows_with_late_rows(events: DataFrame, time: str, value: str, key: str, width: int, delay: str) -> DataFrame:
+    """Of a stream: key, kind, t (microseconds), n, total.
+
+    A row of kind ``window`` comes once the watermark, ``delay`` behind the latest time seen before the batch, has reached
+    the end of a window of ``width`` microseconds that starts at ``t``. A row whose window was over when it came is handed
+    on as ``late``, where Spark's own windows drop it. Start it with ``with_timers``.
+    """
+    seen = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", delay)
+    # Without the time itself, as rows behind the watermark would be left out before the processor sees them.
+    rows = seen.select(F.col(key).cast("long").alias("key"), F.unix_micros("_time").alias("t"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy("key").transformWithStateInPandas(_windowed(width), "key long, kind string, t long, n long, total double", "append", "eventtime")
+
+
+def play(rows: DataFrame, batch: str, folder: str, start) -> None:
+    """Feeds ``rows`` to a stream in the order of ``batch``: each batch arrives as files, and is worked off, with what its
+    watermark sets free, before the next comes. ``start(stream)`` gives a writer with its checkpoint."""
+    spark = rows.sparkSession
+    numbers = [r[0] for r in rows.select(batch).distinct().orderBy(batch).collect()]  # one for each batch
+    arriving = rows.drop(batch)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKS)
+    try:
+        for k in numbers:
+            rows.where(F.col(batch) == k).drop(batch).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(arriving.schema).parquet(folder)
+            start(stream).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
