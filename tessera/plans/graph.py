@@ -32,6 +32,8 @@ class Kind:
     compute: Callable[..., dict[str, Column]] | None = None
     defaults: dict[str, object] = field(default_factory=dict)
     sink: bool = False
+    #: What a reducing kind comes to without any body; such a kind computes aggregates.
+    empty: dict[str, object] | None = None
 
 
 KINDS: dict[str, Kind] = {}
@@ -150,8 +152,12 @@ class Graph:
                 if have.get(name) != TYPES[t]:
                     raise GraphError(f"source {name} must be {TYPES[t]}, not {have.get(name)}")
         out: dict[tuple[str, str], Column] = {("source", s): F.col(s) for s in self.sources}
+        return out, self._compute(self.order(), out)
+
+    def _compute(self, names: list[str], out: dict[tuple[str, str], Column]) -> Column | None:
+        """Adds the outputs of the nodes ``names`` to ``out``; gives the condition of their stop nodes."""
         stop = None
-        for name in self.order():
+        for name in names:
             node, kind = self.nodes[name], KINDS[self.nodes[name].kind]
             if node.kind.startswith("constant."):
                 out[name, "value"] = _literal(node.values["value"], kind.outputs["value"])
@@ -170,7 +176,30 @@ class Graph:
                 out[name, "value"] = inputs["value"]
             else:
                 out |= {(name, socket): c for socket, c in kind.compute(**inputs).items()}
-        return out, stop
+        return stop
+
+    def socket(self, name: str, socket: str) -> tuple[str, str] | None:
+        """Direction and type of a node's socket; None where there is none."""
+        kind = KINDS[self.nodes[name].kind] if name in self.nodes else None
+        for direction, of in (("input", kind and kind.inputs), ("output", kind and kind.outputs)):
+            if of and socket in of:
+                return direction, of[socket]
+        return None
+
+    def value(self, name: str, socket: str, t: str):
+        """The value that an unlinked input has, or a constant; asking for another type is an error."""
+        found = self.socket(name, socket)
+        if found is None or found[1] != t:
+            raise GraphError(f"{name}.{socket} is {found[1] if found else 'nothing'}, not {t}")
+        if (name, socket) in self.links:
+            raise GraphError(f"{name}.{socket} takes its value from a link")
+        node = self.nodes[name]
+        return node.values.get(socket, KINDS[node.kind].defaults.get(socket))
+
+    def set(self, name: str, socket: str, t: str, value) -> Graph:
+        self.value(name, socket, t)
+        self.nodes[name].values[socket] = value
+        return self
 
     def run(self, rows: DataFrame, keep: list[str] = (), outputs: dict[str, tuple[str, str]] | None = None) -> DataFrame:
         """One select: the columns ``keep``, and ``outputs`` by name (all sinks, if none are named; then one is needed)."""

@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..operators import pairs as P
 from .graph import KINDS, Graph, lookup_kind, register
 from .registry import BODY, bodies, query, table
+from .stages import StagedGraph
 
 _E = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
@@ -85,6 +86,32 @@ def graph_full(spark, sf):
     return out.select("id", F.round("total", 6).alias("total"), "name")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, o_totalprice + 1 AS head FROM orders WHERE o_custkey % 10 <> 0),
+l AS (SELECT o_orderkey, l_linenumber, l_extendedprice, head FROM lineitem JOIN o ON l_orderkey = o_orderkey)
+SELECT o_orderkey, 0 AS stage, 0::BIGINT AS line, round(head, 3) AS value FROM o
+UNION ALL SELECT o_orderkey, 1, CAST(l_linenumber AS BIGINT), round(l_extendedprice + head + 1, 3) FROM l
+UNION ALL SELECT o_orderkey, 2, 0, round(coalesce(s, 0) + head + 1 + coalesce(n, 0), 3) FROM o LEFT JOIN (SELECT o_orderkey, sum(l_extendedprice) AS s, count(*) AS n FROM l GROUP BY o_orderkey) USING (o_orderkey)"""
+)
+def graph_stages(spark, sf):
+    """A group of writers with a member before, for and after the bodies: orders are the states, their lines the bodies; some states stop."""
+    states = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 10 == 0).alias("idle"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("line"), "l_extendedprice")
+    g = StagedGraph("o_orderkey", {"l_extendedprice": "double"}, {"o_totalprice": "double", "idle": "bool"})
+    g.add_group("writer", {"init": ("frame_init", "line", {}), "add": ("body", "line", {}), "final": ("frame_final", "line", {})})
+    g.add("head", "sum_plus_one", stage="frame_init").add("idle", "stop", stage="frame_init").link("state", "o_totalprice", "head", "a").link("state", "idle", "idle", "enable")
+    g.add("cost", "sum_plus_one").link("source", "l_extendedprice", "cost", "a").link("head", "x", "cost", "b")
+    g.add("sum", "reduce.sum", stage="frame_final").add("n", "reduce.count", stage="frame_final").push("source", "l_extendedprice", [("sum", "value"), ("n", "value")])
+    g.add("count", "number", stage="frame_final").link("n", "result", "count", "value")
+    g.add("rest", "sum_plus_one", stage="frame_final").link("sum", "result", "rest", "a").link("head", "x", "rest", "b")
+    g.add("tail", "sum_plus_one", stage="frame_final").link("rest", "x", "tail", "a").link("count", "result", "tail", "b")
+    g.link("head", "x", "writer.init", "value").link("cost", "x", "writer.add", "value").link("tail", "x", "writer.final", "value")
+    f = g.run_frames(states, lines, ["line"])
+    part = lambda rows, stage, name, line, less=0.0: rows.select("o_orderkey", F.lit(stage).alias("stage"), line.cast("long").alias("line"), F.round(F.col(f"`writer.{name}`") - less, 3).alias("value"))
+    none = F.lit(0)
+    return part(f.frame_init, 0, "init", none).unionByName(part(f.body, 1, "add", F.col("line"))).unionByName(part(f.frame_final, 2, "final", none, 1.0))
+
+
 @query(f"WITH {BODY} SELECT id, (group_nr << 32) | body_nr AS packed, group_nr, body_nr FROM body")
 def id_pack_unpack(spark, sf):
     packed = bodies(spark, sf).select("id", ids.pack(F.col("group_nr"), F.col("body_nr")).alias("packed"))
