@@ -626,3 +626,27 @@ def test_license_templates_of_a_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(licenses, "MOST_CHARS", 10)
     with pytest.raises(ValueError, match="too large"):
         licenses.templates_of(spark, str(tmp_path))
+
+
+def test_exact_dedup_of_rows_equals_a_plain_version(spark):
+    """Prefixes from the beginning and from the whole text agree, whatever the white space at the front."""
+    rng = np.random.default_rng(11)
+    base = ["".join(rng.choice(list("abé日😀"), rng.integers(0, 400))) for _ in range(25)]
+    texts = []
+    for i in range(300):
+        t = base[rng.integers(0, 25)]
+        cuts = sorted(rng.integers(0, len(t) + 1, 3).tolist())
+        spaces = ["".join(rng.choice(list(" \t\n\v\f\r"), rng.integers(0, 900 if i % 5 == 0 else 4))) for _ in range(3)]
+        texts.append(t[: cuts[0]] + spaces[0] + t[cuts[0] : cuts[1]] + spaces[1] + t[cuts[1] :] + spaces[2])
+    docs = make(spark, [*texts, None, None, ""]).repartition(5)
+    want: dict[str, tuple] = {}
+    for i, t in enumerate([*texts, "", "", ""]):
+        key = re.sub(r"[\x20\x09-\x0D]+", "", t)
+        want[key] = max(want.get(key, (-1, 0)), (len(t), -i))
+    assert sorted(r.doc_id for r in exact_dedup.dedup(docs).collect()) == sorted(-i for _, i in want.values())
+    groups = {r.doc_id: r for r in exact_dedup.exact_groups(docs, digest_all=True).collect()}
+    for i, t in enumerate([*texts, "", "", ""]):
+        key = re.sub(r"[\x20\x09-\x0D]+", "", t)
+        assert (groups[i].keep_id, groups[i].full_hash) == (-want[key][1], hashlib.sha256(key.encode()).hexdigest())
+    some = exact_dedup.exact_groups(docs.where("doc_id % 7 = 0")).collect()
+    assert all((r.full_hash is None) <= (r.group_size == 1) for r in some)
