@@ -441,18 +441,34 @@ def _meeting(threshold: tuple[int, int]):
 
 
 def _verified(pairs: DataFrame, members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold.
+
+    Pairs between two chunks of a cluster are decided together: a set travels once for each chunk that it meets, not for
+    each pair.
+    """
     up, down = threshold
+    place = members.select("id", "cluster", "chunk")
+    of = lambda c: place.select(F.col("id").alias(c), "cluster", F.col("chunk").alias(f"chunk_{c}"))
+    met = pairs.join(of("a"), "a").join(of("b").drop("cluster"), "b")
+    met = materialise(met.select("a", "b", "cluster", F.least("chunk_a", "chunk_b").alias("low"), F.greatest("chunk_a", "chunk_b").alias("high")), "met")
+    block = ["cluster", "low", "high"]
+    needed = met.select(*block, F.col("a").alias("id")).union(met.select(*block, F.col("b").alias("id"))).distinct().join(members.select("id", "shingles"), "id")
+    none = lambda t: F.lit(None).cast(t)
+    rows = needed.select(*block, "id", none("long").alias("b"), "shingles").unionByName(met.select(*block, F.col("a").alias("id"), "b", none("binary").alias("shingles")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for t in grouped(batches, 3):
+            ids, others = t.column("id").to_numpy(), t.column("b")
+            is_pair = np.asarray(others.combine_chunks().is_valid())
+            sets = {int(i): np.frombuffer(x, np.uint64) for i, x in zip(ids[~is_pair], t.column("shingles").filter(pa.array(~is_pair)).to_pylist())}
+            found = []
+            for a, b in zip(ids[is_pair].tolist(), others.filter(pa.array(is_pair)).to_pylist()):
+                x, y = sets[a], sets[b]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(down * shared >= up * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+                if down * shared >= up * (len(x) + len(y) - shared):
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    of = lambda c: members.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
-    return materialise(both.mapInArrow(verify, "a long, b long"), "links")
+    together = rows.repartition(*block).sortWithinPartitions(*block)
+    return materialise(together.mapInArrow(verify, "a long, b long"), "links")

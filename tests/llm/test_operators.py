@@ -1,10 +1,12 @@
 """Each operator against a brute-force version, on odd rows and on empty tables."""
 
 import hashlib
+import os
 import re
 import struct
 import time
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -187,8 +189,37 @@ def test_near_duplicates_leave_a_large_unlinked_cluster(spark):
     assert sum(k != v for k, v in found.items()) >= 20
 
 
-def test_components(spark, monkeypatch):
-    monkeypatch.setattr(components, "FEW_EDGES", 3)
+def test_near_duplicates_of_all_documents_equal_an_exact_join(spark):
+    """All documents of the tables at hand against a prefix-filtered join over their full sets."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path)
+    sets = {r.doc_id: sorted(map(hash, plain_shingles(r.text or "", 5))) for r in docs.select("doc_id", "text").collect()}
+    count = Counter(h for s in sets.values() for h in s)
+    below, index = {i: i for i in sets}, defaultdict(list)
+
+    def top(x):
+        while below[x] != x:
+            x = below[x]
+        return x
+
+    whole = {i: set(s) for i, s in sets.items()}
+    for i in sorted(sets, key=lambda i: len(sets[i])):
+        s = sorted(sets[i], key=lambda h: (count[h], h))
+        head = s[: len(s) - -(-80 * len(s) // 100) + 1]
+        for j in {j for h in head for j in index[h]}:
+            shared = len(whole[i] & whole[j])
+            if 100 * shared >= 80 * (len(whole[i]) + len(whole[j]) - shared):
+                a, b = sorted((top(i), top(j)))
+                below[b] = a
+        for h in head:
+            index[h].append(i)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).select("doc_id", "component_id").collect()}
+    assert found == {i: top(i) for i in sets}
+
+
+def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
     found = {r.id: r.component for r in components.connected_components(edges).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
