@@ -113,7 +113,7 @@ def unpack(packed: DataFrame) -> DataFrame:
     )
 
 
-def _walk(first: Column, levels: Column, cuts: Column, start: Column) -> Column:
+def walk(first: Column, levels: Column, cuts: Column, start: Column) -> Column:
     """The node that the point (x, y, z) reaches from ``start`` over ``levels`` levels."""
     point = F.array(*map(F.col, AXES))
 
@@ -135,5 +135,5 @@ def descend(points: DataFrame, packed: DataFrame, levels: int, column: str = "le
     for first in range(0, levels, STRETCH):
         own = tree.where(F.col("_first") == first)
         own = F.broadcast(own) if first == 0 else own
-        at = at.join(own, "_node").withColumn("_node", _walk(F.col("_first"), F.col("_levels"), F.col("_cuts"), F.col("_node"))).drop("_first", "_levels", "_cuts")
+        at = at.join(own, "_node").withColumn("_node", walk(F.col("_first"), F.col("_levels"), F.col("_cuts"), F.col("_node"))).drop("_first", "_levels", "_cuts")
     return at.withColumn(column, F.col("_node") - (1 << levels)).drop("_node")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import formulas, ids
 from ..operators import grid as G
 from ..operators import pairs as P
-from ..operators import kdtree, lineage, solver
+from ..operators import extract, kdtree, lineage, solver
 from .registry import BODY, bodies, query, table
 
 _PAIRS = f"""{BODY}, contact AS (
@@ -164,11 +164,12 @@ def kd_tree_leaves(spark, sf):
 
 
 DEEP = 12
-_DEEP_SQL = f"WITH {BODY}, l0 AS (SELECT *, 0 AS k0 FROM body)" + "".join(
+_LEVELS = "".join(
     f""", l{i + 1} AS (SELECT l{i}.id, l{i}.x, l{i}.y, l{i}.z, 2 * k{i} + CASE WHEN {"xyz"[i % 3]} < m THEN 0 ELSE 1 END AS k{i + 1}
   FROM l{i} JOIN (SELECT k{i} AS k, quantile_cont({"xyz"[i % 3]}, 0.5) AS m FROM l{i} GROUP BY k{i}) AS m{i} ON k = k{i})"""
     for i in range(DEEP)
 )
+_DEEP_SQL = f"WITH {BODY}, l0 AS (SELECT *, 0 AS k0 FROM body)" + _LEVELS
 
 
 @query(_DEEP_SQL + f" SELECT id, CAST(k{DEEP} AS BIGINT) AS leaf FROM l{DEEP}", "ours")
@@ -188,6 +189,39 @@ def kd_tree_nodes(spark, sf):
     return nodes.where("level = 3 AND points > 0").select("node", "points").join(least, "node")
 
 
+@query(
+    f"""WITH {BODY}, coarse AS (SELECT 'coarse' AS extractor, CAST(floor(x / 10) + 4 * (floor(y / 10) + 5 * floor(z / 10)) AS BIGINT) AS cell, count(*) AS count, sum(mass) AS weight, NULL::DOUBLE AS highest FROM body GROUP BY 2),
+fine AS (SELECT 'fine' AS extractor, CAST(floor((x - 5) / 4) + 3 * (floor((y - 5) / 4) + 4 * floor(z / 22)) AS BIGINT) AS cell, count(*) AS count, sum(mass) AS weight, max(z) AS highest
+  FROM body WHERE x >= 5 AND x < 17 AND y >= 5 AND y < 21 AND z < 44 GROUP BY 2),
+l0 AS (SELECT *, 0 AS k0 FROM body){_LEVELS.split(", l4 AS")[0]},
+leaves AS (SELECT 'tree' AS extractor, CAST(k3 AS BIGINT) AS cell, count(*) AS count, NULL::DOUBLE AS weight, max(z) AS highest FROM l3 GROUP BY k3)
+SELECT * FROM coarse UNION ALL SELECT * FROM fine UNION ALL SELECT * FROM leaves""", "ours"
+)
+def grid_extractors(spark, sf):
+    """Two grids and a kd-tree, each with its own origin, cells and quantities, in one scan of the bodies."""
+    b = bodies(spark, sf)
+    weight, highest = {"weight": ("sum", "mass")}, {"highest": ("greatest", "z")}
+    return extract.extract(
+        b,
+        [
+            extract.Grid("coarse", (0.0, 0.0, 0.0), (10.0, 10.0, 10.0), (4, 5, 5), weight), extract.Grid("fine", (5.0, 5.0, 0.0), (4.0, 4.0, 22.0), (3, 4, 2), weight | highest),
+            extract.Tree("tree", kdtree.pack(kdtree.build(b, 3)), highest),
+        ],
+    )
+
+
+@query(
+    f"""WITH {BODY}, f AS (SELECT id, CASE group_nr % 4 WHEN 0 THEN x ^ 2 + 2 * y WHEN 1 THEN CASE WHEN x < y AND NOT z >= 20 THEN sqrt(z) ELSE 0 - x ^ 2 END WHEN 2 THEN greatest(x, y, z) - least(x, y) / 4 ELSE (x - y) * (x + y) / nullif(z, 0) END AS value FROM body)
+SELECT id, round(value, 6) AS value FROM f""", "ours"
+)
+def formulas_by_row(spark, sf):
+    """Each body's value by the formula of its group, which is a text in a column."""
+    texts = ["x ^ 2 + 2 * y", "if(x < y and not z >= 20, sqrt(z), 0 - x ^ 2)", "max(x, y, z) - min(x, y) / 4", "(x - y) * (x + y) / z"]
+    b = bodies(spark, sf).withColumn("formula", F.element_at(F.array(*map(F.lit, texts)), (F.col("group_nr") % 4 + 1).cast("int")))
+    known = [r.formula for r in b.select("formula").distinct().collect()]  # a handful
+    return b.select("id", F.round(formulas.by_row(F.col("formula"), known, {c: F.col(c) for c in "xyz"}), 6).alias("value"))
+
+
 # Edges along x, across x and y, and along z: the box is the smaller one of the upright and the turned one.
 @query(
     f"""WITH {BODY}, w AS (SELECT max(x) - min(x) AS wx, max(y) - min(y) AS wy, max(z) - min(z) AS wz, max(x + y) - min(x + y) AS ws, max(x - y) - min(x - y) AS wd FROM body WHERE abs(x - y) <= 5)
