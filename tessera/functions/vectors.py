@@ -149,6 +149,12 @@ def is_orthogonal(axes: Column, eps: float = 1e-6, signed: bool = False) -> Colu
     return (size(dot3(a, b)) <= eps) & (size(dot3(b, c)) <= eps) & (size(dot3(a, c)) <= eps)
 
 
+def is_contact_frame(axes: Column) -> Column:
+    """Whether the second of three axes is orthogonal to either other, to within 1e-3; the pair of first and third isn't asked."""
+    a, b, c = axes[0], axes[1], axes[2]
+    return (F.abs(dot3(a, b)) < 1e-3) & (F.abs(dot3(b, c)) < 1e-3)
+
+
 def clamp(v: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(high, v))
 
@@ -166,3 +172,15 @@ def ray_point(origin: Column, direction: Column, t: Column) -> Column:
 
 def to_text(v: Column, separator: str = " ") -> Column:
     return F.array_join(F.transform(v, lambda x: x.cast("string")), separator)
+
+
+def matrix_text(rows: Column, style: str = "space") -> Column:
+    """Rows of numbers as text in full precision: ``space`` and ``comma`` a row a line, ``matlab`` in brackets, with columns of one width."""
+    if style in ("space", "comma"):
+        return F.array_join(F.transform(rows, lambda r: to_text(r, {"space": " ", "comma": ", "}[style])), "\n")
+    if style != "matlab":
+        raise ValueError(f"no style {style}")
+    texts = F.transform(rows, lambda r: F.transform(r, lambda x: x.cast("string")))
+    width = F.array_max(F.transform(F.flatten(texts), lambda x: F.length(x)))
+    padded = F.transform(texts, lambda r: F.array_join(F.transform(r, lambda x: F.lpad(x, width, F.lit(" "))), ", "))
+    return F.concat(F.lit("["), F.array_join(padded, ";\n "), F.lit("]"))

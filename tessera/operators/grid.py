@@ -56,6 +56,22 @@ def weigh(h: Column, inverse_mass: Column, weight: Column) -> tuple[Column, Colu
     return F.transform(h, lambda x: x * weight), F.transform(inverse_mass, lambda x: x / weight)
 
 
+def to_split(parts: DataFrame) -> DataFrame:
+    """Whole bodies (multiplicity 1, h, inverse_mass) with their ``parts`` and ``part_weight`` as split ones; another multiplicity fails the job."""
+    whole = F.when(F.col("multiplicity") == 1, F.col("parts")).otherwise(F.raise_error(F.concat(F.lit("a body has multiplicity "), F.col("multiplicity").cast("string"))).cast("long"))
+    h, inverse = weigh(F.col("h"), F.col("inverse_mass"), F.col("part_weight"))
+    return parts.select(*(c for c in parts.columns if c not in ("multiplicity", "h", "inverse_mass", "parts", "part_weight")), whole.alias("multiplicity"), F.col("part_weight").alias("weight"), h.alias("h"), inverse.alias("inverse_mass"))
+
+
+def to_whole(parts: DataFrame, inverse_mass: Column) -> DataFrame:
+    """The way back: forces without their weight, the inverse masses anew from ``inverse_mass``; a body that isn't split fails the job."""
+    split = F.when(F.col("multiplicity") != 1, F.lit(1).cast("long")).otherwise(F.raise_error(F.lit("a body has multiplicity 1")).cast("long"))
+    rest = [c for c in parts.columns if c not in ("multiplicity", "weight", "h", "inverse_mass")]
+    # In a step of its own: inside a function ``weight`` would be the new one.
+    freed = parts.withColumn("h", F.transform("h", lambda x: x / F.col("weight")))
+    return freed.select(*rest, split.alias("multiplicity"), F.lit(1.0).alias("weight"), "h", inverse_mass.alias("inverse_mass"))
+
+
 def stale_removed(neighbours: DataFrame) -> DataFrame:
     """Bodies that are still in a neighbour's map, their overlap flags cleared."""
     return neighbours.where("in_neighbour_map").withColumn("overlaps", F.lit(False))

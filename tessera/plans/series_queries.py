@@ -80,9 +80,8 @@ def resample_linear(spark, sf):
 
 @query("SELECT user_id, CAST(sum(CASE WHEN p IS DISTINCT FROM event_type THEN 1 ELSE 0 END) AS BIGINT) AS runs FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) GROUP BY user_id")
 def without_repeats(spark, sf):
-    ordered = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_type"))).alias("e"))
-    kept = S.without_repeats(F.transform("e", lambda x: x["event_type"]))
-    return ordered.select("user_id", F.size(kept).cast("long").alias("runs"))
+    found = S.changes(table(spark, sf, "events").select("user_id", "ts", "event_type"), ["user_id"], "ts", "event_type")
+    return found.groupBy("user_id").agg(F.sum(F.col("new").cast("long")).alias("runs"))
 
 
 @query("SELECT l_returnflag, CAST(l_linenumber AS DOUBLE) AS number, CAST(count(*) AS DOUBLE) AS lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag, l_linenumber")

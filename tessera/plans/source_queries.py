@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import exchange as X
 from ..operators import grid as G
-from ..operators import impact, lineage, solver
+from ..operators import impact, lineage, series, solver
 from ..operators import pairs as P
 from ..sources import binary, sinks, states, tables, topology
 from ..streaming import live
@@ -227,13 +227,13 @@ def z_axis_up(spark, sf):
     return bodies(spark, sf).withColumn("m", m).select("id", F.col("m")[0][0].alias("m00"), F.col("m")[0][2].alias("m02"))
 
 
-@query(f"WITH {BODY} SELECT id, id % 4 = 0 AS finite, x * y <= 1e-6::DOUBLE AS signed, abs(x * y) <= 1e-6::DOUBLE AS both FROM (SELECT id, x - 18 AS x, y - 20 AS y FROM body)")
+@query(f"WITH {BODY} SELECT id, id % 4 = 0 AS finite, x * y <= 1e-6::DOUBLE AS signed, abs(x * y) <= 1e-6::DOUBLE AS both, abs(x * y) < 1e-3::DOUBLE AS contact_frame FROM (SELECT id, x - 18 AS x, y - 20 AS y FROM body)")
 def frame_checks(spark, sf):
     """Finite values, and axes whose first two have the inner product x y (the others none)."""
     b = bodies(spark, sf).withColumns({"x": F.col("x") - 18, "y": F.col("y") - 20})
     odd = F.when(F.col("id") % 4 == 0, 1.0).when(F.col("id") % 4 == 1, float("nan")).when(F.col("id") % 4 == 2, float("inf")).otherwise(float("-inf"))
     axes = F.array(V.vec(F.col("x"), 0, 0), V.vec(F.col("y"), 0, 0), V.vec(0, 0, 1))
-    return b.select("id", V.is_finite(V.vec(0, odd)).alias("finite"), V.is_orthogonal(axes, signed=True).alias("signed"), V.is_orthogonal(axes).alias("both"))
+    return b.select("id", V.is_finite(V.vec(0, odd)).alias("finite"), V.is_orthogonal(axes, signed=True).alias("signed"), V.is_orthogonal(axes).alias("both"), V.is_contact_frame(axes).alias("contact_frame"))
 
 
 @query(f"WITH {BODY} SELECT id, false AS overlaps FROM body WHERE id % 3 <> 0")
@@ -280,10 +280,33 @@ def parse_pair(spark, sf):
     return table(spark, sf, "part").withColumn("p", p).select("p_partkey", "p.ok", "p.a", "p.b")
 
 
-@query(f"WITH {BODY} SELECT id, concat_ws(' ', CAST(x AS BIGINT), CAST(y AS BIGINT), CAST(z AS BIGINT)) || chr(10) || '0 1 0' AS text FROM body")
+@query(
+    f"""WITH {BODY}, i AS (SELECT id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z FROM body), w AS (SELECT *, CAST(greatest(len(CAST(x AS VARCHAR)), len(CAST(y AS VARCHAR)), len(CAST(z AS VARCHAR))) AS INTEGER) AS w FROM i)
+SELECT id, concat_ws(' ', x, y, z) || chr(10) || '0 1 0' AS text, concat_ws(', ', x, y, z) || chr(10) || '0, 1, 0' AS comma,
+  '[' || concat_ws(', ', lpad(CAST(x AS VARCHAR), w, ' '), lpad(CAST(y AS VARCHAR), w, ' '), lpad(CAST(z AS VARCHAR), w, ' ')) || ';' || chr(10) || ' ' || concat_ws(', ', lpad('0', w, ' '), lpad('1', w, ' '), lpad('0', w, ' ')) || ']' AS matlab FROM w"""
+)
 def matrix_text(spark, sf):
     rows = F.array(F.array(*(F.col(c).cast("long") for c in "xyz")), F.array(*(F.lit(v).cast("long") for v in (0, 1, 0))))
-    return bodies(spark, sf).select("id", F.array_join(F.transform(rows, lambda r: V.to_text(r)), "\n").alias("text"))
+    return bodies(spark, sf).select("id", V.matrix_text(rows).alias("text"), V.matrix_text(rows, "comma").alias("comma"), V.matrix_text(rows, "matlab").alias("matlab"))
+
+
+@query(f"WITH {BODY} SELECT id, 3 + id % 2 AS parts, CAST(1 AS BIGINT) AS multiplicity, round(mass / (3 + id % 2), 9) AS h_part, round((3 + id % 2) / mass, 9) AS inverse_part, round(mass, 6) AS h, round(1 / mass, 9) AS inverse FROM body")
+def split_and_whole(spark, sf):
+    """Bodies to split weighting and back."""
+    b = bodies(spark, sf).withColumns({"parts": F.lit(3) + F.col("id") % 2, "multiplicity": F.lit(1).cast("long"), "h": F.array("mass"), "inverse_mass": F.array(F.lit(1.0) / F.col("mass"))})
+    split = G.to_split(b.select("id", "mass", "parts", "multiplicity", "h", "inverse_mass", (F.lit(1.0) / F.col("parts")).alias("part_weight")))
+    kept = split.withColumns({"parts": F.col("multiplicity"), "h_part": F.round(F.col("h")[0], 9), "inverse_part": F.round(F.col("inverse_mass")[0], 9)})
+    whole = G.to_whole(kept, F.array(F.lit(1.0) / F.col("mass")))
+    return whole.select("id", "parts", "multiplicity", "h_part", "inverse_part", F.round(F.col("h")[0], 6).alias("h"), F.round(F.col("inverse_mass")[0], 9).alias("inverse"))
+
+
+@query(
+    """SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ' ' ORDER BY l_quantity > 25, l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_linenumber)"""
+)
+def moved_to_back(spark, sf):
+    """The lines of each order, those of large quantities behind the others."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("l"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_linenumber").alias("d"))
+    return rows.where("n = d").select("l_orderkey", F.transform(series.moved_back(F.col("l"), lambda x: x["l_quantity"] > 25), lambda x: x["l_linenumber"].cast("string")).alias("lines")).withColumn("lines", F.array_join("lines", " "))
 
 
 @query(f"WITH {BODY} SELECT id, CASE WHEN id % 2 = 0 THEN 'Sphere , radius: ' || r ELSE 'Box,  extent: 1.0' || chr(10) || '2.0' || chr(10) || '3.0' END AS line FROM body")
