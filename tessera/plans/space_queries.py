@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import formulas, ids
+from ..functions import vectors as V
 from ..operators import grid as G
 from ..operators import pairs as P
-from ..operators import extract, kdtree, lineage, solver
+from ..operators import extract, kdtree, lineage, shapes, solver
 from .registry import BODY, bodies, query, table
 
 _PAIRS = f"""{BODY}, contact AS (
@@ -268,6 +271,32 @@ def geometry_dispatch(spark, sf):
     return bodies(spark, sf).select("id", F.round(found, 6).alias("overlap"))
 
 
+# Boxes, capsules and spheres by turns; odd ones are turned by an eighth about z, which leaves plane separating axes and z.
+_SHAPES = f"""WITH {BODY}, s AS (SELECT id, id % 3 AS kind, x * 0.5 AS x, y * 0.5 AS y, z * 0.5 AS z, r, r / 2 AS k, r / 3 AS l, CASE WHEN id % 2 = 1 THEN sqrt(0.5::DOUBLE) ELSE 1 END AS c, CASE WHEN id % 2 = 1 THEN sqrt(0.5::DOUBLE) ELSE 0 END AS s FROM body),
+p AS (SELECT a.id AS ia, b.id AS ib, a.*, b.kind AS kind2, b.r AS r2, b.k AS k2, b.l AS l2, b.c AS c2, b.s AS s2, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM s a JOIN s b ON a.id <> b.id AND a.kind <= b.kind AND (a.kind < b.kind OR a.id < b.id)
+  AND abs(a.x - b.x) < 3 AND abs(a.y - b.y) < 3 AND abs(a.z - b.z) < 3 WHERE a.kind = b.kind AND a.kind <> 1 OR b.kind = 2),
+g AS (SELECT *, dx * c + dy * s AS lx, dy * c - dx * s AS ly, c * c2 + s * s2 AS cc, s2 * c - c2 * s AS ss FROM p),
+o AS (SELECT ia, ib, CASE
+  WHEN kind = 0 AND kind2 = 0 THEN greatest(abs(lx) - r - r2 * abs(cc) - k2 * abs(ss), abs(ly) - k - r2 * abs(ss) - k2 * abs(cc),
+    abs(dx * c2 + dy * s2) - r2 - r * abs(cc) - k * abs(ss), abs(dy * c2 - dx * s2) - k2 - r * abs(ss) - k * abs(cc), abs(dz) - l - l2)
+  WHEN kind = 0 THEN CASE WHEN abs(lx) > r OR abs(ly) > k OR abs(dz) > l THEN sqrt(greatest(abs(lx) - r, 0) ** 2 + greatest(abs(ly) - k, 0) ** 2 + greatest(abs(dz) - l, 0) ** 2) ELSE greatest(abs(lx) - r, abs(ly) - k, abs(dz) - l) END - r2
+  WHEN kind = 1 THEN sqrt(dx ** 2 + dy ** 2 + (dz - greatest(-r, least(r, dz))) ** 2) - k - r2
+  ELSE sqrt(dx ** 2 + dy ** 2 + dz ** 2) - r - r2 END AS d FROM g)"""
+
+
+@query(_SHAPES + " SELECT least(ia, ib) AS id1, greatest(ia, ib) AS id2, round(d, 6) AS separation FROM o WHERE d < -1e-9", "ours")
+def oriented_pairs(spark, sf):
+    """Overlapping boxes, capsules and spheres."""
+    b, turned = bodies(spark, sf), F.col("id") % 2 == 1
+    kind, r = F.element_at(F.array(*map(F.lit, shapes.KINDS)), (F.col("id") % 3 + 1).cast("int")), F.col("r")
+    half = F.when(kind == "capsule", V.vec(0, 0, r)).otherwise(V.vec(r, r / 2, r / 3))
+    rows = b.select(
+        "id", kind.alias("kind"), V.vec(*(F.col(c) * 0.5 for c in "xyz")).alias("position"), F.when(turned, V.quaternion(V.vec(0, 0, 1), F.lit(math.pi / 4))).otherwise(V.vec(0, 0, 0, 1)).alias("rotation"),
+        half.alias("half"), F.when(kind == "capsule", r / 2).otherwise(r).alias("r"),
+    )
+    return shapes.touching(rows, 1e-9).select("id1", "id2", F.round("separation", 6).alias("separation"))
+
+
 @query("SELECT s_suppkey, n_name, n_name IS NOT NULL AS found FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey")
 def neighbour_lookup(spark, sf):
     nations = table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("rank"), "n_name")
