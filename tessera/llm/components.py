@@ -11,8 +11,9 @@ from .common import materialise
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of ``edges`` (a, b); component is the least id in it.
 
-    Each round joins every vertex to the neighbour, or itself, of least priority; priorities are drawn anew each round,
-    so that a round removes a constant share of the vertices whatever their order. Round tables are written to the shared
+    Each round joins every vertex to the neighbour, or itself, of least priority. Priorities are ids at first, which ends a
+    star about its least vertex at once, and every other round drawn anew, so that two rounds remove a constant share of
+    the vertices whatever their order. Round tables are written to the shared
     folder; joins have an exchange on either side, so that a vertex with very many links can be split.
     """
     both = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -20,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = None
     turn = 0
     while not edges.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("p"), F.col(c).alias("id"))
+        drawn = F.lit(0).cast("long") if turn < 2 or turn % 2 else None
+        rank = lambda c: F.struct((F.xxhash64(F.col(c), F.lit(turn)) if drawn is None else drawn).alias("p"), F.col(c).alias("id"))  # noqa: E731, B023
         parents = materialise(
             both(edges).groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("id"), F.least(rank("a"), "near")["id"].alias("parent")),
             "parents",

@@ -225,6 +225,19 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
 
 
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    """Chains in order of their ids take rounds by the logarithm of their length; stars take one or two."""
+    rounds = []
+    written = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label, *a: rounds.append(label) or written(df, label, *a))
+    chain = [(i, i + 1) for i in range(1000)]
+    stars = [(5000 + 200 * s, 5000 + 200 * s + i) for s in range(5) for i in range(1, 150)] + [(5000 + 200 * s + 7, 5007) for s in range(1, 5)]
+    for edges, most, want in ((chain, 26, {i: 0 for i in range(1001)}), (stars, 4, {v: 5000 for e in stars for v in e})):
+        rounds.clear()
+        found = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert found == want and rounds.count("parents") <= most, rounds.count("parents")
+
+
 def test_bpe(spark, odd_docs):
     import base64
 
