@@ -18,7 +18,7 @@ _PATTERNS = {
     "Vector2": (_REAL, "{1}"), "Vector3": (_REAL, "{2}"), "Vector4": (_REAL, "{3}"), "Vector": (_REAL, "+"),
     "Vector3Int": (_WHOLE, "{2}"), "Vector4Int": (_WHOLE, "{3}"), "VectorInt": (_WHOLE, "*"),
     "Vector3UnsignedInt": (_COUNT, "{2}"), "Vector4UnsignedInt": (_COUNT, "{3}"), "VectorUnsignedInt": (_COUNT, "*"),
-    "pairList": (_PAIR, "*"), "twoPairs": (_PAIR, "{1}"),
+    "commaSeperatedPairsOfUnsignedInts": (_PAIR, "*"), "twoCommaSeperatedPairsOfUnsignedInts": (_PAIR, "{1}"),
 }
 _RANGES = {
     "nonNegativeInt": ("int", 0, True, 2**32 - 1), "positiveInt": ("int", 0, False, 2**32 - 1), "nonNegativeDouble": ("double", 0, True, float("inf")),

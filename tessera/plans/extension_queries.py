@@ -89,8 +89,7 @@ class Words:
 @query("SELECT p_partkey, CAST(i - 1 AS INTEGER) AS place, w[i] AS word FROM (SELECT p_partkey, string_split(p_type, ' ') AS w, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS i FROM part) WHERE w[i] <> ''", "extension")
 def x_table_function(spark, sf):
     spark.udtf.register("tessera_words", Words)
-    table(spark, sf, "part").createOrReplaceTempView("_words_part")
-    return spark.sql("SELECT p_partkey, w.place, w.word FROM _words_part, LATERAL tessera_words(p_type) w")
+    return spark.sql("SELECT p_partkey, w.place, w.word FROM {part}, LATERAL tessera_words(p_type) w", part=table(spark, sf, "part"))
 
 
 @query(

@@ -11,7 +11,7 @@ from ..operators import exchange as X
 from ..operators import grid as G
 from ..operators import impact, lineage, series, solver
 from ..operators import pairs as P
-from ..sources import binary, sinks, states, tables, topology
+from ..sources import binary, scenes, sinks, states, tables, topology
 from ..streaming import live
 from .registry import BODY, bodies, query, table
 from .space_queries import _OVERLAP, _PAIRS, CELLS, LOW, WIDTH
@@ -179,6 +179,39 @@ def tree_topology_parse(spark, sf):
     )
 
 
+# Every second customer's scene lacks its recorder, every third has two visualizations, every fifth an unknown part.
+@query(
+    """SELECT c_custkey, 'SceneSettings' AS parent, 'RecorderSettings' AS section, 'missing' AS wrong FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'SceneSettings', 'Visualization', 'repeated' FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 'SceneObjects', 'SoftBodies', 'unknown' FROM customer WHERE c_custkey % 5 = 0"""
+)
+def scene_violations(spark, sf):
+    return scenes.violations(_scenes(spark, sf))
+
+
+@query(
+    """SELECT c_custkey, 'SceneObjects' AS parent, 'RigidBodies' AS section, CAST(1 + c_nationkey % 3 AS INTEGER) AS count FROM customer
+UNION ALL SELECT c_custkey, 'SceneSettings', 'MPISettings', CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 0 END FROM customer"""
+)
+def scene_sections(spark, sf):
+    return scenes.sections(_scenes(spark, sf)).where("section IN ('RigidBodies', 'MPISettings')")
+
+
+@query("SELECT c_custkey, '//TimeStepperSettings/@deltaT' AS path, 'positiveDouble' AS domain, CAST(c_nationkey - 2 AS VARCHAR) AS value FROM customer WHERE c_nationkey <= 2")
+def scene_domains(spark, sf):
+    """Time steps that aren't positive."""
+    return scenes.domain_violations(_scenes(spark, sf), {"//TimeStepperSettings/@deltaT": "positiveDouble", "//RigidBodies/@instances": "nonNegativeInt"})
+
+
+def _scenes(spark, sf):
+    xml = F.expr(
+        """concat('<DynamicsSystem xmlns="SceneFile"><SceneSettings>', if(c_custkey % 2 = 0, '', '<RecorderSettings mode="everyStep"><X/></RecorderSettings>'), '<TimeStepperSettings deltaT="', c_nationkey - 2, '"/>',
+ '<ContactParameterMap><Standard mu="0.3"/></ContactParameterMap><!-- <Old/> -->', repeat('<Visualization></Visualization>', if(c_custkey % 3 = 0, 2, 0)), if(c_nationkey % 2 = 0, '<MPISettings/>', ''),
+ '</SceneSettings><SceneObjects>', repeat('<RigidBodies instances="4"><Visualization><Mesh/></Visualization></RigidBodies>', 1 + c_nationkey % 3), if(c_custkey % 5 = 0, '<SoftBodies/>', ''), '</SceneObjects></DynamicsSystem>')"""
+    )
+    return table(spark, sf, "customer").select("c_custkey", xml.alias("xml"))
+
+
 @query(f"WITH {BODY} SELECT id, x AS px, y AS py, round(sqrt(0.5::DOUBLE), 6) AS qz FROM body")
 def transform_steps(spark, sf):
     """Along x, a quarter turn about z, then along the turned x."""

@@ -260,11 +260,10 @@ _REAL = r"[+-]?\d+(\.\d+)?(e[+-]?\d+)?"
  JOIN (SELECT p_partkey, p_size FROM part) USING (p_partkey)"""
 )
 def xsd_domain_check(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("_domain_part")
-    rows = spark.sql(_TEXTS.replace("FROM part", "FROM _domain_part"))
+    rows = spark.sql(_TEXTS.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
     is_in = lambda domain: S.in_domain(F.col("t"), domain)
     return rows.select(
-        "p_partkey", is_in("Vector3").alias("is_vector3"), is_in("pairList").alias("is_pair_list"), is_in("positiveDouble").alias("is_positive"), is_in("zeroToOneDouble").alias("is_share"), is_in("nonNegativeInt").alias("is_count")
+        "p_partkey", is_in("Vector3").alias("is_vector3"), is_in("commaSeperatedPairsOfUnsignedInts").alias("is_pair_list"), is_in("positiveDouble").alias("is_positive"), is_in("zeroToOneDouble").alias("is_share"), is_in("nonNegativeInt").alias("is_count")
     )
 
 

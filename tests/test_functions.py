@@ -79,7 +79,7 @@ def test_rotation_keeps_length_and_matrices_agree(spark):
 # Texts inside and outside of the scalar domains.
 DOMAINS = {
     "Vector3": (["1 2 3", " 1.5 -2e3 +3\n"], [".5 1 2", "1. 2 3", "1E5 2 3", "1 2", "1 2 3 4", ""]), "Vector2": (["1 2"], ["1"]), "Vector": (["1 2", "1 2 3 4 5"], ["1"]),
-    "VectorInt": (["1", "-1 2"], ["1.0"]), "Vector3UnsignedInt": (["1 2 3"], ["-1 2 3"]), "pairList": (["1,2", "1,2 3,4"], ["1,2,3", "1, 2"]), "twoPairs": (["1,2 3,4"], ["1,2"]),
+    "VectorInt": (["1", "-1 2"], ["1.0"]), "Vector3UnsignedInt": (["1 2 3"], ["-1 2 3"]), "commaSeperatedPairsOfUnsignedInts": (["1,2", "1,2 3,4"], ["1,2,3", "1, 2"]), "twoCommaSeperatedPairsOfUnsignedInts": (["1,2 3,4"], ["1,2"]),
     "positiveInt": (["1", " 4294967295 "], ["0", "4294967296", "1.0", "-1"]), "nonNegativeInt": (["0", "+7"], ["", "-1"]), "nonNegativeDouble": (["0", "1e-1", "INF", ".5"], ["-0.1", "NaN", "+", "."]),
     "positiveDouble": (["1e-3"], ["0", "0.0e5"]), "zeroToOneDouble": (["0", "1.0", "1e-1"], ["", "+", ".", "1.01"]),
 }
