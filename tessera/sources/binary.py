@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -325,7 +326,7 @@ class _StateReader(D.DataSourceReader):
                 state, inside = divmod(row, head.bodies)
                 n = min(many, (part.high - row) // head.bodies)
                 at = head.start + state * head.size
-                if not inside and n:
+                if not inside and n and head.size <= BATCH_BYTES:
                     f.seek(at)
                     states = np.frombuffer(f.read(n * head.size), whole)
                     yield from self._batch(head, np.repeat(states["number"], head.bodies), np.repeat(states["t"], head.bodies), states["bodies"].reshape(-1))
@@ -399,38 +400,54 @@ class _StateWriter(_Writer):
 
 
 class _StateFiles:
-    """A file for each simulation of a task; only the state that is being gathered is held."""
+    """A file for each simulation of a task. Bodies are written as they come, none are held.
+
+    How many bodies a state has stands in the head of its file: the first state waits on the task's own disk until it is known.
+    """
 
     def __init__(self, writer: _StateWriter):
-        self.writer, self.names, self.key, self.parts = writer, [], None, []
-        self.file, self.sim_id, self.bodies, self.first, self.last, self.states = None, None, None, None, None, 0
+        self.writer, self.names, self.key = writer, [], None
+        self.file, self.waiting, self.sim_id, self.bodies, self.first, self.last, self.states = None, None, None, None, None, None, 0
 
     def add(self, sim_id: str, number: int, t: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
         if self.key != (sim_id, number):
-            self._put()
-            self.key = (sim_id, number)
-        self.parts.append((t, ids, v))
+            self._end_state()
+            self._begin_state(sim_id, number, float(t[0]))
+        if (t != self.t).any() or (np.diff(ids) <= 0).any() or (self.count and ids[0] <= self.last_id):
+            self._refuse()
+        rows = np.zeros(len(ids), np.dtype([("id", "<i8"), ("v", "<f8", (v.shape[1],))]))
+        rows["id"], rows["v"] = ids, v
+        (self.waiting or self.file).write(rows.tobytes())
+        self.count, self.last_id = self.count + len(ids), ids[-1]
 
-    def _put(self) -> None:
-        if not self.parts:
-            return
-        sim_id, number = self.key
-        t, ids, v = (np.concatenate(p) for p in zip(*self.parts))
-        self.parts = []
+    def _refuse(self) -> None:
+        raise ValueError(f"state {self.key[1]} of {self.key[0]} has other bodies, bodies out of order or several times")
+
+    def _begin_state(self, sim_id: str, number: int, t: float) -> None:
         if sim_id != self.sim_id:
             self._end()
             self.names.append(f"part-{uuid.uuid4().hex}.tss")
-            self.file, self.sim_id, self.bodies, self.first, self.states, self.ids = self.writer.out.open(self.names[-1]), sim_id, len(ids), number, 0, ids
-            name = sim_id.encode()
-            self.file.write(struct.pack(_HEAD, _MAGIC, len(ids), self.writer.nq, self.writer.nu, len(name)) + name)
+            self.file, self.waiting = self.writer.out.open(self.names[-1]), tempfile.TemporaryFile()
+            self.sim_id, self.bodies, self.first, self.states = sim_id, None, number, 0
         elif number <= self.last:
             raise ValueError(f"state {number} of {sim_id} comes out of order")
-        if len(ids) != self.bodies or (t != t[0]).any() or (np.diff(ids) <= 0).any():
-            raise ValueError(f"state {number} of {sim_id} has other bodies, bodies out of order or several times")
-        rows = np.zeros(len(ids), np.dtype([("id", "<i8"), ("v", "<f8", (v.shape[1],))]))
-        rows["id"], rows["v"] = ids, v
-        self.file.write(struct.pack(_STATE, number, float(t[0])) + rows.tobytes())
-        self.last, self.states = number, self.states + 1
+        self.key, self.t, self.count, self.last_id = (sim_id, number), t, 0, None
+        (self.waiting or self.file).write(struct.pack(_STATE, number, t))
+
+    def _end_state(self) -> None:
+        if self.key is None:
+            return
+        if self.waiting is not None:
+            self.bodies, name = self.count, self.sim_id.encode()
+            self.file.write(struct.pack(_HEAD, _MAGIC, self.bodies, self.writer.nq, self.writer.nu, len(name)) + name)
+            self.waiting.seek(0)
+            while block := self.waiting.read(BATCH_BYTES):
+                self.file.write(block)
+            self.waiting.close()
+            self.waiting = None
+        elif self.count != self.bodies:
+            self._refuse()
+        self.last, self.states, self.key = self.key[1], self.states + 1, None
 
     def _end(self) -> None:
         if self.file is not None:
@@ -439,7 +456,7 @@ class _StateFiles:
             self.file = None
 
     def close(self) -> list[str]:
-        self._put()
+        self._end_state()
         self._end()
         return self.names
 
@@ -450,7 +467,7 @@ def register(spark: SparkSession) -> None:
 
 
 def write_states(states: DataFrame, path: str, mode: str = "append", nq: int = 7, nu: int = 6, partitions: int | None = None) -> None:
-    """Writes states; those of one number stay together, in files whose numbers ascend. A state is the unit that one task gathers."""
+    """Writes states; those of one number stay together, in files whose numbers ascend. A state is the unit that one task writes."""
     register(states.sparkSession)
     n = [partitions] if partitions else []
     rows = states.select("sim_id", F.col("state_nr").cast("long"), F.col("t").cast("double"), F.col("body_id").cast("long"), F.col("q").cast("array<double>"), F.col("u").cast("array<double>"))
