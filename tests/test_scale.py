@@ -2,10 +2,18 @@
 
 import contextlib
 import io
+import re
 
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow.fs  # noqa: F401 - before memory is traced
 from pyspark.sql import functions as F
 
 from tessera.operators import pairs
+from tessera.plans import extension_queries
+from tessera.sources import binary
 
 
 def plan(df) -> str:
@@ -29,3 +37,50 @@ def test_pairs_are_not_broadcast(spark):
     found = [((r.id1, r.id2), r.overlap) for r in contacts.collect()]
     assert dict(found) == want and len(found) == len(want) and len(want) > 1000
     assert frames.count() == len(want)
+
+
+def test_a_state_is_not_held(tmp_path):
+    """Two states of two hundred thousand bodies, in pieces: a task holds little of what it writes."""
+    n, pieces = 1000, 200
+    out = binary._Output(str(tmp_path), False)
+    files = binary._StateFiles(SimpleNamespace(out=out, nq=7, nu=6))
+    v = np.ones((n, 13))
+    tracemalloc.start()
+    for number in (3, 4):
+        for k in range(pieces):
+            files.add("s", number, np.full(n, number / 2), np.arange(k * n, (k + 1) * n), v)
+    names = files.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * pieces * 14 * 8 / 2
+    out.commit(names)
+    (path, size), = binary._files(str(tmp_path))
+    with open(path, "rb") as f:
+        head = binary._head(f, path, size)
+    assert (head.bodies, head.states, head.first, head.last, head.sim_id) == (n * pieces, 2, 3, 4, "s")
+
+
+def test_hot_bucket_is_dealt_out(spark):
+    """All points in one bucket: the pairs come from several tasks, each once."""
+    points = spark.range(400).withColumn("x", F.col("id") % 10 + 0.5)
+    spans = spark.range(60).select(F.col("id").alias("span"), (F.col("id") % 6).cast("double").alias("low"), (F.col("id") % 6 + 3).cast("double").alias("high"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        found = extension_queries.interval_join(points, spans, "x", "low", "high", 100.0)
+        rows = [(r.id, r.span) for r in found.collect()]
+        tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(rows) == sorted((i, s) for i in range(400) for s in range(60) if s % 6 <= i % 10 + 0.5 < s % 6 + 3)
+    assert tasks > 1
+
+
+def test_sketches_stand_apart(spark, tmp_path):
+    """No sketch is kept for each supplier."""
+    k = F.col("id")
+    spark.range(2000).select((k % 3).cast("string").alias("l_returnflag"), (k % 500).alias("l_suppkey"), (k * 7 % 1000).cast("double").alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = extension_queries.x_percentiles(spark, str(tmp_path))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys?=\[[^\]]*l_suppkey[^\]]*\].*approx", text)
+    assert {r.l_returnflag: r.suppliers for r in out.collect()} == {"0": 500, "1": 500, "2": 500}
