@@ -11,10 +11,22 @@ from .registry import query, table
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points with all intervals [start, end) that hold them, through buckets of ``width``: an equi-join, in which an interval stands in each bucket that it meets."""
+    """Points with all intervals [start, end) that hold them, through buckets of ``width``: an equi-join, in which an interval stands in each bucket that it meets.
+
+    A bucket with more than its share of the points is dealt out over several places, each with a copy of its intervals.
+    The number of places is fixed, as few bytes can make many pairs and Spark would join them in one task.
+    """
     bucket = lambda c: F.floor(F.col(c) / width)
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = points.groupBy(bucket(at).alias("_bucket")).count()
+    share = -(-(counts.agg(F.sum("count")).first()[0] or 1) // (4 * n))
+    hot = counts.where(F.col("count") > share).select("_bucket", F.ceil(F.col("count") / share).alias("_places"))  # 4 n rows at most
+    placed = lambda rows: rows.join(F.broadcast(hot), "_bucket", "left").withColumn("_places", F.coalesce("_places", F.lit(1)))
     cut = intervals.where(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
-    return points.withColumn("_bucket", bucket(at)).join(cut, "_bucket").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+    cut = placed(cut).withColumn("_place", F.explode(F.sequence(F.lit(0), F.col("_places") - 1))).drop("_places")
+    dealt = placed(points.withColumn("_bucket", bucket(at))).withColumn("_place", F.monotonically_increasing_id() % F.col("_places")).drop("_places")
+    deal = lambda rows: rows.repartition(n, "_bucket", "_place")
+    return deal(dealt).join(deal(cut).hint("shuffle_hash"), ["_bucket", "_place"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket", "_place")
 
 
 @query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_acctbal AND p_retailprice < s_acctbal + 50", "extension")
