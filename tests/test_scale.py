@@ -8,10 +8,11 @@ import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow.fs  # noqa: F401 - before memory is traced
 from pyspark.sql import functions as F
 
-from tessera.operators import pairs
+from tessera.operators import blocks, pairs, solver
 from tessera.plans import extension_queries
 from tessera.sources import binary
 
@@ -84,3 +85,31 @@ def test_sketches_stand_apart(spark, tmp_path):
     text = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Aggregate\(keys?=\[[^\]]*l_suppkey[^\]]*\].*approx", text)
     assert {r.l_returnflag: r.suppliers for r in out.collect()} == {"0": 500, "1": 500, "2": 500}
+
+
+def test_percussions_of_bodies_with_many_contacts(spark):
+    """Single steps go to and fro for ever; blocks settle."""
+    chance = np.random.default_rng(3)
+    n, places = 60, chance.uniform(0, 3, size=(60, 3))
+    places[1] = places[0]
+    gaps = {(a, b): float(2.0 - np.linalg.norm(places[a] - places[b])) for a in range(n) for b in range(a) if np.linalg.norm(places[a] - places[b]) < 2.0}
+    masses = chance.uniform(1, 30, n)
+    contacts = spark.createDataFrame([(f"{a}-{b}", a, b, g) for (a, b), g in gaps.items()], "contact_id string, id1 long, id2 long, gap double")
+    bodies = spark.createDataFrame([(i, float(masses[i]), *map(float, places[i])) for i in range(n)], "id long, mass double, x double, y double, z double")
+    found, rounds = solver.solve_normal(contacts, bodies, solver.Settings(most_iterations=6))
+    p = {r.contact_id: r.percussion for r in found.collect()}
+    assert rounds < 6 and len(p) == len(gaps) and min(p.values()) >= 0
+    v = np.zeros(n)
+    for a, b in gaps:
+        v[[a, b]] += p[f"{a}-{b}"] / masses[[a, b]]
+    late = {(a, b): v[a] + v[b] - g for (a, b), g in gaps.items()}
+    assert min(late.values()) > -1e-5 and max(abs(p[f"{a}-{b}"] * x) for (a, b), x in late.items()) < 1e-4
+
+
+def test_blocks_are_bounded():
+    """Even where all bodies are in one place."""
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 8000)
+    for places in (np.zeros((8000, 3)), np.random.default_rng(2).normal(size=(8000, 3))):
+        cuts = blocks.Cuts(places[:2000], 4, 7)
+        sizes = np.bincount(cuts.of(*map(pd.Series, places.T), pd.Series(hashes)))
+        assert (sizes > 0).sum() == 16 and sizes.max() < 3 * 8000 / 16
