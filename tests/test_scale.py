@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import math
 import re
 
 import tracemalloc
@@ -113,3 +114,16 @@ def test_blocks_are_bounded():
         cuts = blocks.Cuts(places[:2000], 4, 7)
         sizes = np.bincount(cuts.of(*map(pd.Series, places.T), pd.Series(hashes)))
         assert (sizes > 0).sum() == 16 and sizes.max() < 3 * 8000 / 16
+
+
+def test_all_pairs_by_chunks(spark):
+    """No join of all bodies with all others, and the same contacts for any number of chunks."""
+    b = some_bodies(spark)
+    rows = [tuple(r) for r in b.collect()]
+    want = {(i, j): (r + s) - math.sqrt((u - x) ** 2 + (v - y) ** 2 + (w - z) ** 2) for i, x, y, z, r in rows for j, u, v, w, s in rows if i < j and (u - x) ** 2 + (v - y) ** 2 + (w - z) ** 2 < (r + s) ** 2}
+    for chunk in (16, 1024):
+        out = pairs.overlaps_brute(b, chunk)
+        found = [((r.id1, r.id2), r.overlap) for r in out.collect()]
+        assert len(found) == len(want) and dict(found) == want
+        if chunk < len(rows):
+            assert not any("id_a" in x for x in plan(out).splitlines() if "NestedLoop" in x or "Cartesian" in x)
