@@ -14,7 +14,8 @@ import pyarrow.fs  # noqa: F401 - before memory is traced
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks, pairs, solver
-from tessera.plans import extension_queries
+from tessera.functions import scalars as S
+from tessera.plans import extension_queries, space_queries
 from tessera.sources import binary
 
 
@@ -127,3 +128,48 @@ def test_all_pairs_by_chunks(spark):
         assert len(found) == len(want) and dict(found) == want
         if chunk < len(rows):
             assert not any("id_a" in x for x in plan(out).splitlines() if "NestedLoop" in x or "Cartesian" in x)
+
+
+def exchanged(df) -> int:
+    """Rows that go through the largest exchange of the plan."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            if node.nodeName() == "Exchange":
+                found.append(node.metrics().apply("shuffleRecordsWritten").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return max(found)
+
+
+def test_cells_are_not_exchanged(spark):
+    """Bodies go to the blocks that they touch, not to each cell; and no contact is dealt out for its frame."""
+    b = some_bodies(spark).cache()
+    contacts = pairs.overlaps(b, ("x", "y", "z", "r"))
+    assert 0 < exchanged(contacts) < 12 * b.count()
+    frames = {(r.id1, r.id2): r for r in pairs.contact_frames(pairs.overlaps(b).select("id1", "id2"), b).collect()}
+    for r in pairs.contact_frames(contacts).collect():
+        other = frames[r.id1, r.id2]
+        assert (r.e_x, r.e_y, r.e_z, r.p) == (other.e_x, other.e_y, other.e_z, other.p)
+        assert r.e_z is None or abs(np.linalg.det([r.e_z, r.e_x, r.e_y]) - 1) < 1e-9
+
+
+def test_rounding_agrees(spark):
+    chance = np.random.default_rng(5)
+    values = [*chance.normal(size=500), *(chance.integers(-99, 99, 200) / 10**6 + 0.5e-6), *(10.0 ** chance.integers(-9, 17, 50)), 0.0, -0.0, 2.5e-6, -2.5e-6, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    assert rows.where(~F.round("v", 6).eqNullSafe(S.rounded(F.col("v")))).count() == 0
+
+
+def test_contacts_are_not_exchanged(spark, tmp_path):
+    """Percussions of the step before and shapes come along with bodies: neither pairs nor contacts are dealt out or stored."""
+    spark.range(3000).select((F.col("id") * 65231 + F.col("id") % 50).alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size"), F.lit("m").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    for query in (space_queries.percussion_join, space_queries.oriented_pairs):
+        out = query(spark, str(tmp_path))
+        assert "Join" not in plan(out) and "ExistingRDD" not in plan(out)
+        assert exchanged(out) < 12 * 3000 < out.count()
