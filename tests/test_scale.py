@@ -173,3 +173,15 @@ def test_contacts_are_not_exchanged(spark, tmp_path):
         out = query(spark, str(tmp_path))
         assert "Join" not in plan(out) and "ExistingRDD" not in plan(out)
         assert exchanged(out) < 12 * 3000 < out.count()
+
+
+def test_colours_without_contacts(spark):
+    """No two bodies that touch share a colour, few colours are used, and no contact is stored; giants and bodies in one place too."""
+    b = some_bodies(spark).unionByName(spark.createDataFrame([(900, 3.0, 2.0, 5.0, 4.0), (901, -3.0, 0.0, -1.0, 3.5), (902, 3.0, 2.0, 5.0, 4.0)], "id long, x double, y double, z double, r double"))
+    out = solver.coloured(b)
+    found = {r.id: r.colour for r in out.collect()}
+    contacts = [(r.id1, r.id2) for r in pairs.overlaps_brute(b).collect()]
+    degree = np.bincount(np.array(contacts).ravel())
+    assert out.count() == len(found) == 303 and min(found.values()) >= 0
+    assert all(found[i] != found[j] for i, j in contacts) and len(set(found.values())) <= degree.max() + 1
+    assert solver.coloured(b.limit(0)).count() == 0
